@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm import terms
+from marlstone.llm import splitter, terms, tokenizer
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,8 +41,36 @@ select origin, term, occurrences, records,
 from f join n using (origin)
 """
 
-QUERIES = {"p1_found": p1_found, "p1_terms": p1_terms}
+# --- 3: splitting oversized items --------------------------------------------------------------------
+
+
+def p3_pieces(spark: SparkSession, d: str) -> DataFrame:
+    sections = table(spark, d, "sections").select(F.lit("section").alias("item_kind"), F.col("section_id").alias("item_id"), F.col("heading").alias("label"), "text")
+    specs = table(spark, d, "chunk_specs").select(F.lit("chunk_spec").alias("item_kind"), F.col("spec_id").alias("item_id"), F.col("section").alias("label"), "text")
+    return splitter.split_oversized(sections.unionByName(specs), label="label").drop("label")
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return p3_pieces(spark, d).where("n_pieces > 1 and piece = 0").select("item_kind", "item_id").distinct()
+
+
+_P3 = """
+select distinct item_kind, item_id from (
+  select 'section' as item_kind, section_id as item_id, text from sections
+  union all select 'chunk_spec', spec_id, text from chunk_specs
+) where length(trim(text, ' ' || chr(9) || chr(10) || chr(13))) > 2000
+"""
+
+# --- 7: encoding with a public tokenizer -------------------------------------------------------------
+
+
+def p7_ids(spark: SparkSession, d: str) -> DataFrame:
+    return tokenizer.encode_corpus(table(spark, d, "documents"), ["doc_id"])
+
+
+QUERIES = {"p1_found": p1_found, "p1_terms": p1_terms, "p3_found": p3_found, "p3_pieces": p3_pieces, "p7_ids": p7_ids}
 SQL = {
     "p1_found": f"select origin, term, mark from ({_P1}) where mark is not null",
     "p1_terms": _P1,
+    "p3_found": _P3,
 }
