@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm import splitter, terms, tokenizer
+from marlstone.llm import leakage, quality, splitter, terms, tokenizer
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,7 +68,30 @@ def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokenizer.encode_corpus(table(spark, d, "documents"), ["doc_id"])
 
 
-QUERIES = {"p1_found": p1_found, "p1_terms": p1_terms, "p3_found": p3_found, "p3_pieces": p3_pieces, "p7_ids": p7_ids}
+# --- 8: evaluation texts in the corpus ---------------------------------------------------------------
+
+
+def p8_overlaps(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.find_leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return p8_overlaps(spark, d).where(F.col("longest_run") >= leakage.SPAN).select("doc_id", "item_id").distinct()
+
+
+# --- 9: text statistics and types --------------------------------------------------------------------
+
+
+def p9_statistics(spark: SparkSession, d: str) -> DataFrame:
+    return quality.text_types(table(spark, d, "documents"))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    rows = quality.text_types(table(spark, d, "documents"), with_statistics=False)
+    return rows.where((F.col("n_chars") >= quality.MIN_CHARS) & (F.col("text_type") != "prose")).select("doc_id", F.col("text_type").alias("kind")).distinct()
+
+
+QUERIES = {"p1_found": p1_found, "p1_terms": p1_terms, "p3_found": p3_found, "p3_pieces": p3_pieces, "p7_ids": p7_ids, "p8_found": p8_found, "p8_overlaps": p8_overlaps, "p9_found": p9_found, "p9_statistics": p9_statistics}
 SQL = {
     "p1_found": f"select origin, term, mark from ({_P1}) where mark is not null",
     "p1_terms": _P1,
