@@ -21,22 +21,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from marlstone.llm.wordlists import COMMON_WORDS
 from marlstone.session import durable
 
 TYPES = ("prose", "list", "table", "junk")
 PROSE, LIST, TABLE, JUNK = range(4)
-# frequent function words of nine languages
-COMMON = frozenset(
-    """the of and to in is that for it was on are as with by at from this be which
-    der die das und den von zu mit sich des auf ist nicht ein eine als auch dem im wie
-    de la le les et des un une du que est pour dans qui par sur plus ne pas
-    el los las del y en una con por para su al lo como se sin no más sobre
-    il di che e per non si gli delle della sono dei alla nel più anche
-    het een van dat op te zijn met voor niet aan er om bij door
-    w i z na do się nie że jest od przez oraz są jak dla przy
-    o a os as em do da não uma com dos no se na por mais
-    и в не на что с по как из к о за от это для""".split()
-)
+COMMON = frozenset(w for words in COMMON_WORDS.values() for w in words.split())
 #: name and the type voted for, in the order of the bits
 FUNCTIONS = (
     ("cells_numeric", TABLE), ("cells_separated", TABLE), ("digit_share", TABLE),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm import leakage, quality, splitter, terms, tokenizer
+from marlstone.llm import language, leakage, quality, splitter, terms, tokenizer
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,6 +41,24 @@ select origin, term, occurrences, records,
 from f join n using (origin)
 """
 
+# --- 2: languages of documents and passages ----------------------------------------------------------
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    documents, passages = language.languages(table(spark, d, "docs"), table(spark, d, "chunks"))
+    wrong = documents.where("lang is not null and not (named <=> lang)").select(F.col("doc").alias("slug"), F.lit(0).cast("bigint").alias("chunk_id"), "lang")
+    other = passages.where("sentences >= 2 and lang <> main and chunk_id is not null").select(F.col("doc").alias("slug"), "chunk_id", "lang")
+    return wrong.unionByName(other).distinct()
+
+
+def p2_passages(spark: SparkSession, d: str) -> DataFrame:
+    return language.languages(table(spark, d, "docs"), table(spark, d, "chunks"))[1]
+
+
+def p2_documents(spark: SparkSession, d: str) -> DataFrame:
+    return language.languages(table(spark, d, "docs"), table(spark, d, "chunks"))[0]
+
+
 # --- 3: splitting oversized items --------------------------------------------------------------------
 
 
@@ -91,7 +109,7 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return rows.where((F.col("n_chars") >= quality.MIN_CHARS) & (F.col("text_type") != "prose")).select("doc_id", F.col("text_type").alias("kind")).distinct()
 
 
-QUERIES = {"p1_found": p1_found, "p1_terms": p1_terms, "p3_found": p3_found, "p3_pieces": p3_pieces, "p7_ids": p7_ids, "p8_found": p8_found, "p8_overlaps": p8_overlaps, "p9_found": p9_found, "p9_statistics": p9_statistics}
+QUERIES = {"p1_found": p1_found, "p1_terms": p1_terms, "p2_found": p2_found, "p2_documents": p2_documents, "p2_passages": p2_passages, "p3_found": p3_found, "p3_pieces": p3_pieces, "p7_ids": p7_ids, "p8_found": p8_found, "p8_overlaps": p8_overlaps, "p9_found": p9_found, "p9_statistics": p9_statistics}
 SQL = {
     "p1_found": f"select origin, term, mark from ({_P1}) where mark is not null",
     "p1_terms": _P1,
