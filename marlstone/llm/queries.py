@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm import language, leakage, quality, splitter, terms, tokenizer
+from marlstone.llm import language, leakage, neighbours, quality, splitter, terms, tokenizer
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -79,6 +79,17 @@ select distinct item_kind, item_id from (
 ) where length(trim(text, ' ' || chr(9) || chr(10) || chr(13))) > 2000
 """
 
+# --- 4: most similar vectors -------------------------------------------------------------------------
+
+
+def p4_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    return neighbours.nearest(table(spark, d, "vec_chunks"), table(spark, d, "chunks"))
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return neighbours.pairs(p4_neighbours(spark, d)).select(F.col("a").alias("chunk_id_a"), F.col("b").alias("chunk_id_b"))
+
+
 # --- 7: encoding with a public tokenizer -------------------------------------------------------------
 
 
@@ -109,7 +120,7 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return rows.where((F.col("n_chars") >= quality.MIN_CHARS) & (F.col("text_type") != "prose")).select("doc_id", F.col("text_type").alias("kind")).distinct()
 
 
-QUERIES = {"p1_found": p1_found, "p1_terms": p1_terms, "p2_found": p2_found, "p2_documents": p2_documents, "p2_passages": p2_passages, "p3_found": p3_found, "p3_pieces": p3_pieces, "p7_ids": p7_ids, "p8_found": p8_found, "p8_overlaps": p8_overlaps, "p9_found": p9_found, "p9_statistics": p9_statistics}
+QUERIES = {"p1_found": p1_found, "p1_terms": p1_terms, "p2_found": p2_found, "p2_documents": p2_documents, "p2_passages": p2_passages, "p3_found": p3_found, "p3_pieces": p3_pieces, "p4_found": p4_found, "p4_neighbours": p4_neighbours, "p7_ids": p7_ids, "p8_found": p8_found, "p8_overlaps": p8_overlaps, "p9_found": p9_found, "p9_statistics": p9_statistics}
 SQL = {
     "p1_found": f"select origin, term, mark from ({_P1}) where mark is not null",
     "p1_terms": _P1,
