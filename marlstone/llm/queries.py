@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm import language, leakage, neighbours, quality, scans, splitter, terms, tokenizer
+from marlstone.llm import language, leakage, nearcopies, neighbours, quality, scans, splitter, terms, tokenizer
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -90,6 +90,18 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return neighbours.pairs(p4_neighbours(spark, d)).select(F.col("a").alias("chunk_id_a"), F.col("b").alias("chunk_id_b"))
 
 
+# --- 5: near copies ----------------------------------------------------------------------------------
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    links, members = nearcopies.near_copies(table(spark, d, "chunks"))
+    return nearcopies.all_pairs(links, members).select(F.col("a").alias("chunk_id_a"), F.col("b").alias("chunk_id_b"))
+
+
+def p5_groups(spark: SparkSession, d: str) -> DataFrame:
+    return nearcopies.groups(*nearcopies.near_copies(table(spark, d, "chunks"))).withColumnRenamed("id", "chunk_id")
+
+
 # --- 6: noise of scanned pages -----------------------------------------------------------------------
 
 
@@ -131,7 +143,7 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return rows.where((F.col("n_chars") >= quality.MIN_CHARS) & (F.col("text_type") != "prose")).select("doc_id", F.col("text_type").alias("kind")).distinct()
 
 
-QUERIES = {"p1_found": p1_found, "p1_terms": p1_terms, "p2_found": p2_found, "p2_documents": p2_documents, "p2_passages": p2_passages, "p3_found": p3_found, "p3_pieces": p3_pieces, "p4_found": p4_found, "p4_neighbours": p4_neighbours, "p6_found": p6_found, "p6_repaired": p6_repaired, "p7_ids": p7_ids, "p8_found": p8_found, "p8_overlaps": p8_overlaps, "p9_found": p9_found, "p9_statistics": p9_statistics}
+QUERIES = {"p1_found": p1_found, "p1_terms": p1_terms, "p2_found": p2_found, "p2_documents": p2_documents, "p2_passages": p2_passages, "p3_found": p3_found, "p3_pieces": p3_pieces, "p4_found": p4_found, "p4_neighbours": p4_neighbours, "p5_found": p5_found, "p5_groups": p5_groups, "p6_found": p6_found, "p6_repaired": p6_repaired, "p7_ids": p7_ids, "p8_found": p8_found, "p8_overlaps": p8_overlaps, "p9_found": p9_found, "p9_statistics": p9_statistics}
 SQL = {
     "p1_found": f"select origin, term, mark from ({_P1}) where mark is not null",
     "p1_terms": _P1,
