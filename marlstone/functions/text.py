@@ -90,7 +90,7 @@ def leaf_markdown(html: Column) -> Column:
 
 
 # fixed values: the forms of a page marker
-PAGE_MARKER = r"(?i)<!--\s*page\s+(\d+)\s*-->|-{5,}\s*page\s+(\d+)\s*-{5,}|={5,}\s*page\s+(\d+)\s*={5,}|#{2,}\s*page\s+(\d+)|\f"
+PAGE_MARKER = r"(?i)<!--\s*page\s*\d+\s*-->|-{5,}\s*page\s*\d+\s*-{5,}|={5,}\s*page\s*\d+\s*={5,}|#{2,}\s*page\s*\d+\s*|\f"
 _CUT = "\u0001"
 
 
@@ -101,7 +101,7 @@ def page_pieces(markdown: Column) -> Column:
 
 def marked_pages(markdown: Column) -> Column:
     """array<struct<page, text>>: each marker's number with the text after it; text before the first marker is on page 1."""
-    numbered = F.regexp_replace(markdown, r"(?i)<!--\s*page\s+(\d+)\s*-->", _CUT + "$1\u0002")
+    numbered = F.regexp_replace(markdown, r"(?i)<!--\s*page\s*(\d+)\s*-->", _CUT + "$1\u0002")
     parts = F.transform(F.split(numbered, _CUT), lambda p: F.struct(
         F.coalesce(F.nullif(F.regexp_extract(p, "^(\\d+)\u0002", 1), F.lit("")).cast("int"), F.lit(1)).alias("page"),
         trimmed(F.regexp_replace(p, "^\\d+\u0002", "")).alias("text"),
@@ -111,7 +111,7 @@ def marked_pages(markdown: Column) -> Column:
 
 def guessed_pages(markdown: Column) -> Column:
     """The greatest page number in the markers, at least 1."""
-    numbers = F.transform(F.regexp_extract_all(markdown, F.lit(r"(?i)page\s+(\d+)"), F.lit(1)), lambda x: x.cast("int"))
+    numbers = F.transform(F.regexp_extract_all(markdown, F.lit(r"(?i)page\s*(\d+)"), F.lit(1)), lambda x: x.cast("int"))
     return F.greatest(F.coalesce(F.array_max(numbers), F.lit(1)), F.lit(1))
 
 
@@ -146,9 +146,16 @@ def year_range(start: Column, end: Column) -> Column:
     return F.when(start.isNotNull() | end.isNotNull(), F.concat(F.coalesce(start.cast("string"), F.lit("")), F.lit("-"), F.coalesce(end.cast("string"), F.lit(""))))
 
 
+# fixed values: parts of error texts that name a passing failure
+RETRYABLE = (
+    "fetch failed", "ECONNREFUSED", "ECONNRESET", "ETIMEDOUT", "ENOTFOUND", "EAI_AGAIN", "EPIPE", "AbortError", "timed out", "timeout",
+    "unreachable", "Could not fetch", r"HTTP 5\d\d", "OCR request failed", "embed HTTP", "no markdown content",
+)
+
+
 def retryable(error: Column) -> Column:
     """Whether an error text names a passing failure: network, HTTP 5xx, or the OCR or embedding service."""
-    return F.coalesce(error.rlike(r"(?i)fetch failed|econn|etimedout|enotfound|socket|network|timeout|timed out|http 5\d\d|ocr|embed"), F.lit(False))
+    return F.coalesce(error.rlike("(?i)" + "|".join(RETRYABLE)), F.lit(False))
 
 
 def backoff_ms(attempts: Column) -> Column:
