@@ -124,7 +124,7 @@ def chunk_title(text: Column) -> Column:
 def page_set(spec: Column, n: Column) -> Column:
     """`1-5,7` as sorted distinct pages within 1..n; ranges may be reversed; empty or `all` gives all."""
     every = F.when(n >= 1, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
-    parts = F.filter(F.transform(F.split(F.coalesce(spec, F.lit("")), ","), F.trim), lambda p: p.rlike(r"^\d{1,9}(?:\s*-\s*\d{1,9})?$"))
+    parts = F.filter(F.transform(F.split(F.coalesce(spec, F.lit("")), ","), lambda x: F.trim(x)), lambda p: p.rlike(r"^\d{1,9}(?:\s*-\s*\d{1,9})?$"))
 
     def span(p: Column) -> Column:
         a, b = F.regexp_extract(p, r"^(\d+)", 1).cast("int"), F.regexp_extract(p, r"(\d+)$", 1).cast("int")
@@ -135,7 +135,7 @@ def page_set(spec: Column, n: Column) -> Column:
 
 
 def csv_list(text: Column) -> Column:
-    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), ","), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), ","), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def clamped(value: Column, low: int, high: int, default: int) -> Column:

@@ -1,6 +1,382 @@
-"""Registered queries of the core operators and their oracle SQL."""
+"""Registered queries of the core operators over the test tables, and their oracle SQL.
+
+Lexical queries are the texts of eval_items; dense, sparse and hybrid ones take every chunk whose id is divisible
+by 50 as a query against all chunks.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+
+from marlstone.functions import tokens as tk
+from marlstone.operators import dense, evaluate, fusion, lexical, search, sparse
+
+
+DIM, K, EVERY = 64, 10, 50
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+
+def table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def register(sql: str | None = None, name: str | None = None):  # noqa: ANN201
+    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+        QUERIES[name or f.__name__] = f
+        if sql:
+            SQL[name or f.__name__] = sql
+        return f
+
+    return add
+
+
+# --- tables without their repeats --------------------------------------------------------------------
+
+
+def chunks_of(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "chunks").dropDuplicates(["chunk_id"])
+
+
+def vectors_of(spark: SparkSession, d: str) -> DataFrame:
+    rows = dense.usable(table(spark, d, "vec_chunks"), DIM).dropDuplicates(["chunk_id"])
+    return rows.join(table(spark, d, "chunks").select("chunk_id").distinct(), "chunk_id", "left_semi")
+
+
+def terms_of(spark: SparkSession, d: str) -> DataFrame:
+    return sparse.clean_terms(table(spark, d, "sparse_terms"), table(spark, d, "chunks"))
+
+
+def asked_texts(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "eval_items").select(F.col("item_id").alias("query_id"), "text")
+
+
+def asked_vectors(spark: SparkSession, d: str) -> DataFrame:
+    return vectors_of(spark, d).where(F.col("chunk_id") % EVERY == 0).select(F.col("chunk_id").alias("query_id"), "embedding")
+
+
+def asked_terms(spark: SparkSession, d: str) -> DataFrame:
+    return terms_of(spark, d).where(F.col("chunk_id") % EVERY == 0).select(F.col("chunk_id").alias("query_id"), "term", F.col("weight").alias("qw"))
+
+
+def asked_chunks(spark: SparkSession, d: str) -> DataFrame:
+    rows = chunks_of(spark, d).where(F.col("chunk_id") % EVERY == 0).select(F.col("chunk_id").alias("query_id"), "text")
+    return rows.join(asked_vectors(spark, d), "query_id", "left")
+
+
+def collection(spark: SparkSession, d: str) -> search.Collection:
+    return search.Collection(chunks_of(spark, d), vectors_of(spark, d), terms_of(spark, d), DIM)
+
+
+_CH = "ch as (select distinct on (chunk_id) chunk_id, doc, page, section, text from chunks)"
+_STOP = ", ".join(f"'{w}'" for w in tk.STOP_WORDS)
+# the same patterns for an engine without look-around, whose word boundary is ASCII
+_RAW = (
+    r"""(?i)\b(?:10\.\d{4,9}/[^\s,;)\]"'']+|arXiv:\d{4}\.\d{4,5}(?:v\d+)?)""",
+    r"""\b[a-zA-Z][a-zA-Z0-9_]*(?:[+*/=<>!&%#@:|][+*/=<>!&%#@:|A-Za-z0-9_.]*)+\b""",
+    r"""\b(?:[A-Z][a-z]?\d*){2,}\b""",
+    r"""\b[a-zA-Z][a-zA-Z0-9]*[_^][a-zA-Z0-9]+\b""",
+)
+
+
+def _words(c: str) -> str:
+    return f"list_filter(regexp_split_to_array(lower({c}), '[^a-z0-9]+'), lambda t: length(t) > 1 and t not in ({_STOP}))"
+
+
+def _raws(c: str) -> str:
+    found = "[]::varchar[]"
+    for p in _RAW:
+        found = f"list_concat({found}, regexp_extract_all({c}, '{p}'))"
+    return f"list_filter(list_transform({found}, lambda t: lower(trim(t))), lambda t: length(t) >= 2)"
+
+
+def _tokens(c: str) -> str:
+    return f"list_concat({_words(c)}, {_raws(c)})"
+
+
+_PLAIN = "list_filter(regexp_extract_all(lower({c}), '[a-z0-9]+'), lambda t: length(t) >= 2)"
+
+
+def _index(tokens: str) -> str:
+    """CTEs: ch, tok, tf, ln, st, df."""
+    return f"""{_CH}, tok as (select chunk_id, {tokens} as t from ch),
+    tf as (select chunk_id, term, count(*) as tf from (select chunk_id, unnest(t) as term from tok) group by all),
+    ln as (select chunk_id, len(t) as len from tok),
+    st as (select count(*) as n, cast(sum(len) as bigint) as total_len, avg(len) as avg_len from ln),
+    df as (select term, count(*) as df from tf group by term)"""
+
+
+def _bm25(tokens: Callable[[str], str], k1: float, b: float, k: int) -> str:
+    return f"""with {_index(tokens('text'))},
+    q as (select distinct item_id as query_id, unnest({tokens('text')}) as term from eval_items),
+    s as (select query_id, chunk_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * ({k1} + 1) / (tf + {k1} * (1 - {b} + {b} * len / avg_len))) as score
+          from q join tf using (term) join df using (term) join ln using (chunk_id), st group by all),
+    r as (select *, row_number() over (partition by query_id order by round(score, 9) desc, chunk_id) as rank from s)
+    select query_id, chunk_id, round(score, 6) as score, cast(rank as integer) as rank from r where rank <= {k}"""
+
+
+def _ranked(df: DataFrame, *extra: str) -> DataFrame:
+    return df.select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank", *extra)
+
+
+# --- lexical -----------------------------------------------------------------------------------------
+
+
+@register(f"with {_CH} select chunk_id, {_words('text')} as tokens from ch")
+def fn_word_tokens(spark: SparkSession, d: str) -> DataFrame:
+    return chunks_of(spark, d).select("chunk_id", tk.word_tokens(F.col("text")).alias("tokens"))
+
+
+@register(f"select doc_id, {_raws('coalesce(text, chr(32))')} as tokens from documents")
+def fn_raw_tokens(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", tk.raw_tokens(F.col("text")).alias("tokens"))
+
+
+@register(f"with {_CH} select chunk_id, len({_tokens('text')}) as n_tokens from ch")
+def fn_tokenize(spark: SparkSession, d: str) -> DataFrame:
+    return lexical.lengths(chunks_of(spark, d)).withColumnRenamed("len", "n_tokens")
+
+
+@register(f"with {_index(_tokens('text'))} select term, chunk_id, cast(tf as integer) as tf, cast(len as integer) as len from tf join ln using (chunk_id)")
+def agg_tf(spark: SparkSession, d: str) -> DataFrame:
+    return lexical.postings(chunks_of(spark, d))
+
+
+@register(f"with {_index(_tokens('text'))} select term, df from df")
+def agg_df(spark: SparkSession, d: str) -> DataFrame:
+    return lexical.document_frequency(lexical.postings(chunks_of(spark, d)))
+
+
+@register(f"with {_index(_tokens('text'))} select n, total_len, round(avg_len, 9) as avg_len from st")
+def agg_len_stats(spark: SparkSession, d: str) -> DataFrame:
+    return lexical.statistics(lexical.lengths(chunks_of(spark, d))).withColumn("avg_len", F.round("avg_len", 9))
+
+
+def _run_bm25(spark: SparkSession, d: str, k: int, split=tk.tokens, **kw: float) -> DataFrame:
+    chunks = chunks_of(spark, d)
+    return lexical.bm25(lexical.postings(chunks, split), lexical.statistics(lexical.lengths(chunks, split)), asked_texts(spark, d), k, split=split, **kw)
+
+
+@register(_bm25(_tokens, 1.2, 0.75, K))
+def ret_bm25(spark: SparkSession, d: str) -> DataFrame:
+    return _ranked(_run_bm25(spark, d, K))
+
+
+@register(_bm25(_tokens, 0.9, 0.4, K))
+def ret_bm25_mem(spark: SparkSession, d: str) -> DataFrame:
+    return _ranked(_run_bm25(spark, d, K, k1=0.9, b=0.4))
+
+
+@register(_bm25(lambda c: _PLAIN.format(c=c), 1.5, 0.75, K))
+def ev_bm25_alt(spark: SparkSession, d: str) -> DataFrame:
+    return _ranked(_run_bm25(spark, d, K, split=tk.plain_tokens, k1=1.5))
+
+
+# --- sparse ------------------------------------------------------------------------------------------
+
+_BLANKS = "' ' || chr(9) || chr(10) || chr(13)"
+_TERMS = f"""tm as (select chunk_id, term, sum(weight) as weight from (
+      select chunk_id, trim(lower(term), {_BLANKS}) as term, weight from (select distinct chunk_id, term, weight from sparse_terms where weight > 0))
+    where term <> '' and chunk_id in (select chunk_id from chunks) group by all),
+    q0 as (select chunk_id as query_id, term, weight as qw from tm where chunk_id % {EVERY} = 0),
+    n as (select count(distinct chunk_id) as n from chunks),
+    fd as (select term, count(*) as df from tm group by term),
+    q1 as (select *, row_number() over (partition by query_id order by qw desc, term) as r from q0),
+    q2 as (select query_id, term, qw, df from q1 join fd using (term), n where r <= 32 and df <= 0.15 * n),
+    q3 as (select *, coalesce(sum(df) over (partition by query_id order by qw desc, term rows between unbounded preceding and 1 preceding), 0) as before from q2)"""
+
+
+def _sparse_sql(asked: str, k: int) -> str:
+    return f"""with {_TERMS}, s as (select query_id, chunk_id, sum(qw * weight) as score from ({asked}) a join tm using (term) group by all),
+    r as (select *, row_number() over (partition by query_id order by round(score, 9) desc, chunk_id) as rank from s)
+    select query_id, chunk_id, round(score, 6) as score, cast(rank as integer) as rank from r where rank <= {k}"""
+
+
+@register(_sparse_sql("select query_id, term, qw from q3 where before < 150000", 4 * K))
+def ret_sparse(spark: SparkSession, d: str) -> DataFrame:
+    return _ranked(sparse.sparse_top_k(terms_of(spark, d), asked_terms(spark, d), chunks_of(spark, d).count(), 4 * K))
+
+
+@register(_sparse_sql("select query_id, term, qw from q0", 4 * K))
+def ev_sparse_full(spark: SparkSession, d: str) -> DataFrame:
+    return _ranked(sparse.sparse_top_k(terms_of(spark, d), asked_terms(spark, d), 0, 4 * K, prune=False))
+
+
+@register(f"with {_TERMS} select query_id, term, round(qw, 6) as qw from q3 where before < 150")
+def win_budget(spark: SparkSession, d: str) -> DataFrame:
+    terms = terms_of(spark, d)
+    return sparse.pruned_terms(asked_terms(spark, d), lexical.document_frequency(terms), chunks_of(spark, d).count(), budget=150).withColumn("qw", F.round("qw", 6))
+
+
+# --- dense -------------------------------------------------------------------------------------------
+
+_VEC = f"""v as (select distinct on (chunk_id) chunk_id, cast(embedding as double[]) as e from vec_chunks
+      where len(embedding) = {DIM} and len(list_filter(embedding, lambda x: x is null or isnan(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0 and chunk_id in (select chunk_id from chunks)),
+    qv as (select chunk_id as query_id, e as qe from v where chunk_id % {EVERY} = 0)"""
+
+
+def _dense_sql(k: int, where: str = "true", digits: int = 6) -> str:
+    return f"""with {_VEC}, s as (select query_id, chunk_id, list_cosine_similarity(qe, e) as score from qv, v where {where}),
+    r as (select *, row_number() over (partition by query_id order by round(score, 9) desc, chunk_id) as rank from s)
+    select query_id, chunk_id, round(score, {digits}) as score, cast(rank as integer) as rank from r where rank <= {k}"""
+
+
+@register(_dense_sql(4 * K))
+def ret_dense(spark: SparkSession, d: str) -> DataFrame:
+    return _ranked(dense.dense_top_k(vectors_of(spark, d), asked_vectors(spark, d), 4 * K, DIM))
+
+
+_WHERE = "chunk_id in (select chunk_id from chunks where page between 2 and 5 and contains(lower(section), 'method'))"
+
+
+@register(_dense_sql(K, _WHERE))
+def flt_allowed(spark: SparkSession, d: str) -> DataFrame:
+    allowed = search.Filter(page_from=2, page_to=5, section="METHOD").allowed(chunks_of(spark, d))
+    return _ranked(dense.dense_top_k(vectors_of(spark, d), asked_vectors(spark, d), K, DIM, allowed))
+
+
+@register("""with v as (select vec_id, cast(embedding as double[]) as e from embeddings)
+    select a.vec_id as vec_id, round(list_cosine_similarity(a.e, b.e), 6) as similarity from v a join v b on b.vec_id = a.vec_id + 1""")
+def fn_cosine(spark: SparkSession, d: str) -> DataFrame:
+    v = table(spark, d, "embeddings").select("vec_id", "embedding")
+    pairs = v.join(v.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("next")), "vec_id")
+    return pairs.select("vec_id", F.round(dense.cosine(F.col("embedding"), F.col("next")), 6).alias("similarity"))
+
+
+@register("""select vec_id, list_transform(e, lambda x: round(x / n, 6)) as unit from (
+    select vec_id, cast(embedding as double[]) as e, sqrt(list_sum(list_transform(cast(embedding as double[]), lambda x: x * x))) as n from embeddings)""")
+def fn_l2norm(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "embeddings").select("vec_id", F.transform(dense.normalised(F.col("embedding")), lambda x: F.round(x, 6)).alias("unit"))
+
+
+# --- fusion and search -------------------------------------------------------------------------------
+
+_LEGS = f"""dl as (select * from ({_dense_sql(4 * K)})), sl as (select * from ({_sparse_sql("select query_id, term, qw from q3 where before < 150000", 4 * K)})),
+    l as (select query_id, chunk_id, rank - 1 as r, 0 as leg from dl union all select query_id, chunk_id, rank - 1, 1 from sl),
+    f as (select query_id, chunk_id, sum(1.0::double / (r + 60)) as score, min(leg * 1000000 + r) as first from l group by all),
+    fr as (select *, row_number() over (partition by query_id order by round(score, 9) desc, first, chunk_id) as rank from f)"""
+
+
+def _two_legs(spark: SparkSession, d: str) -> list[DataFrame]:
+    return [
+        dense.dense_top_k(vectors_of(spark, d), asked_vectors(spark, d), 4 * K, DIM),
+        sparse.sparse_top_k(terms_of(spark, d), asked_terms(spark, d), chunks_of(spark, d).count(), 4 * K),
+    ]
+
+
+@register(f"with {_LEGS} select query_id, chunk_id, round(score, 6) as score, cast(rank as integer) as rank from fr")
+def ret_rrf(spark: SparkSession, d: str) -> DataFrame:
+    return _ranked(fusion.rrf(_two_legs(spark, d)))
+
+
+@register(f"""with {_LEGS}, p as (select * from fr where rank <= 20), m as (select query_id, min(score) as lo, max(score) as hi from p group by 1)
+    select query_id, chunk_id, round(case when hi > lo then (score - lo) / (hi - lo) else 1 end, 6) as rel from p join m using (query_id)""")
+def win_minmax(spark: SparkSession, d: str) -> DataFrame:
+    return fusion.min_max(fusion.rrf(_two_legs(spark, d)).where("rank <= 20")).select("query_id", "chunk_id", F.round("rel", 6).alias("rel"))
+
+
+@register()
+def ret_mmr(spark: SparkSession, d: str) -> DataFrame:
+    return fusion.mmr(fusion.rrf(_two_legs(spark, d)), vectors_of(spark, d), K)
+
+
+@register()
+def ret_hybrid(spark: SparkSession, d: str) -> DataFrame:
+    return search.hybrid(collection(spark, d), asked_chunks(spark, d), asked_terms(spark, d), K)
+
+
+@register()
+def ret_degrade(spark: SparkSession, d: str) -> DataFrame:
+    """No query vectors and no weights: key words only."""
+    queries = asked_texts(spark, d).withColumn("embedding", F.lit(None).cast("array<float>"))
+    none = asked_terms(spark, d).where("false")
+    return search.hybrid(collection(spark, d), queries, none, K)
+
+
+@register(f"""with {_VEC}, b as (select query_id, max(list_cosine_similarity(qe, e)) as s from qv, v group by 1)
+    select c.chunk_id as query_id, (select count(distinct chunk_id) from chunks) as total, b.s is not null as dense, round(coalesce(b.s, 0), 4) as strength,
+      case when b.s is null then '{search.NO_ENCODER}' end as message
+    from (select distinct chunk_id from chunks where chunk_id % {EVERY} = 0) c left join b on b.query_id = c.chunk_id""")
+def ret_envelope(spark: SparkSession, d: str) -> DataFrame:
+    return search.envelope(collection(spark, d), asked_chunks(spark, d), asked_terms(spark, d))
+
+
+@register(f"with {_CH} select doc, page, count(*) as chunks, arg_min(section, chunk_id) as section, trim(string_agg(text, chr(10) || chr(10) order by chunk_id), {_BLANKS}) as text from ch group by doc, page")
+def ret_page(spark: SparkSession, d: str) -> DataFrame:
+    return search.page_text(chunks_of(spark, d))
+
+
+@register(f"""with {_CH}, c as (select doc, page, section, count(*) as c from ch group by all), r as (select *, row_number() over (partition by doc, page order by c desc, section) as r from c),
+    p as (select doc, page, cast(sum(c) as bigint) as n, string_agg(section, '; ' order by r) filter (r <= 6) as sections from r group by all)
+    select doc, page, n, sections from (select *, row_number() over (partition by doc order by n desc, page) as k from p) where k <= 8""")
+def agg_page_section(spark: SparkSession, d: str) -> DataFrame:
+    return search.page_sections(chunks_of(spark, d))
+
+
+# --- evaluation --------------------------------------------------------------------------------------
+
+
+def judged(spark: SparkSession, d: str) -> DataFrame:
+    """A query chunk is 2 relevant to itself, the other chunks of its document 1."""
+    c = chunks_of(spark, d).select("chunk_id", "doc")
+    q = c.where(F.col("chunk_id") % EVERY == 0).join(asked_vectors(spark, d).select(F.col("query_id").alias("chunk_id")), "chunk_id", "left_semi").select(F.col("chunk_id").alias("query_id"), "doc")
+    return q.join(c, "doc").select("query_id", "chunk_id", F.when(F.col("query_id") == F.col("chunk_id"), 2).otherwise(1).alias("rel"))
+
+
+_QREL = f"""{_CH}, qr as (select q.chunk_id as query_id, c.chunk_id, case when q.chunk_id = c.chunk_id then 2 else 1 end as rel from ch q join ch c using (doc)
+    where q.chunk_id % {EVERY} = 0 and q.chunk_id in (select query_id from qv))"""
+_METRICS = f"""nd as (select i.query_id, coalesce(g.dcg, 0) / i.idcg as ndcg from (
+      select query_id, sum(rel / log2(r + 1)) as idcg from (select *, row_number() over (partition by query_id order by rel desc, chunk_id) as r from qr) where r <= 10 group by 1) i
+      left join (select query_id, sum(rel / log2(rank + 1)) as dcg from dl join qr using (query_id, chunk_id) where rank <= 10 group by 1) g using (query_id)),
+    rc as (select query_id, coalesce(n, 0) / m as recall from (select query_id, count(*) as m from qr group by 1) a
+      left join (select query_id, count(*) as n from dl join qr using (query_id, chunk_id) where rank <= 100 group by 1) b using (query_id))"""
+_EVAL = f"with {_VEC}, dl as ({_dense_sql(100)}), {_QREL}, {_METRICS}"
+
+
+def _dense_run(spark: SparkSession, d: str, k: int = 100) -> DataFrame:
+    return dense.dense_top_k(vectors_of(spark, d), asked_vectors(spark, d), k, DIM)
+
+
+@register(f"{_EVAL} select query_id, round(ndcg, 6) as ndcg from nd")
+def ev_ndcg(spark: SparkSession, d: str) -> DataFrame:
+    return evaluate.ndcg(_dense_run(spark, d), judged(spark, d)).withColumn("ndcg", F.round("ndcg", 6))
+
+
+@register(f"{_EVAL} select query_id, round(recall, 6) as recall from rc")
+def ev_recall(spark: SparkSession, d: str) -> DataFrame:
+    return evaluate.recall(_dense_run(spark, d), judged(spark, d)).withColumn("recall", F.round("recall", 6))
+
+
+@register()
+def ev_rrf200(spark: SparkSession, d: str) -> DataFrame:
+    """Fusion of full rankings, to a depth of 200, unscored chunks included."""
+    return _ranked(_full_fusion(spark, d, True).where("rank <= 100"))
+
+
+def _full_fusion(spark: SparkSession, d: str, prune: bool, depth: int = 200) -> DataFrame:
+    chunks, queries = chunks_of(spark, d).select("chunk_id", "text"), asked_chunks(spark, d)
+    terms = sparse.sparse_top_k(terms_of(spark, d), asked_terms(spark, d), chunks.count(), depth, prune=prune)
+    words = lexical.bm25(lexical.postings(chunks, tk.plain_tokens), lexical.statistics(lexical.lengths(chunks, tk.plain_tokens)), queries, depth, k1=1.5, split=tk.plain_tokens)
+    both = [evaluate.full_ranking(r, queries, chunks, depth) for r in (words, terms)]
+    return fusion.rrf([_dense_run(spark, d, depth), *both])
+
+
+@register()
+def ev_ablation(spark: SparkSession, d: str) -> DataFrame:
+    chunks, queries = chunks_of(spark, d), asked_chunks(spark, d)
+    words = lexical.bm25(lexical.postings(chunks, tk.plain_tokens), lexical.statistics(lexical.lengths(chunks, tk.plain_tokens)), queries, 100, k1=1.5, split=tk.plain_tokens)
+    runs = {
+        "dense": _dense_run(spark, d),
+        "bm25": words,
+        "sparse": sparse.sparse_top_k(terms_of(spark, d), asked_terms(spark, d), 0, 100, prune=False),
+        "3leg": _full_fusion(spark, d, False),
+        "3leg+prune": _full_fusion(spark, d, True),
+    }
+    return evaluate.ablation(runs, judged(spark, d))
+
+
+from marlstone.plans import catalog_text  # noqa: E402, F401 - registers its queries
