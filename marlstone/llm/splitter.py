@@ -22,6 +22,7 @@ LIMIT, OVERLAP = 2000, 200
 BLANKS = " \t\r\n"
 KINDS = ("end", "paragraph", "line", "sentence", "clause", "word", "hard")
 PENALTY = (0.0, 0.0, 1.0, 1.2, 4.0, 8.0, 60.0)
+OUT = ("piece_label", "piece", "n_pieces", "piece_start", "piece_end", "piece_cut", "piece_text")
 PIECE_CHARGE, IMBALANCE = 2.0, 6.0
 
 _PATTERNS = (
@@ -110,6 +111,7 @@ def split_oversized(items: DataFrame, text: str = "text", label: str | Column |
 
     Texts lose blanks, tabs and line ends at their two ends first. Null and blank texts have no pieces;
     a blank or null label becomes `(preamble)`. Rows equal in all columns stay as often as they come.
+    A column of items that has one of these names comes out with `_in` after it.
     piece_text is text[piece_start - overlap : piece_end] (from 0 in the first piece).
     """
     if not 0 <= overlap < limit:
@@ -118,7 +120,7 @@ def split_oversized(items: DataFrame, text: str = "text", label: str | Column |
     label = F.col(label) if isinstance(label, str) else F.lit(None).cast("string") if label is None else label
     named = F.when(F.btrim(label, F.lit(BLANKS)) != "", F.btrim(label, F.lit(BLANKS))).otherwise("(preamble)")
     base = items.select(
-        F.struct(*keep).alias("_row") if keep else F.lit(None).alias("_row"), named.alias("_label"), F.btrim(F.col(text), F.lit(BLANKS)).alias("_text")
+        F.struct(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep))).alias("_row") if keep else F.lit(None).alias("_row"), named.alias("_label"), F.btrim(F.col(text), F.lit(BLANKS)).alias("_text")
     ).where("_text <> ''")
     long = F.length("_text") > limit
     flat = base.withColumn("_flat", _cuts_udf(limit, overlap)(F.when(long, F.col("_text"))))
@@ -128,7 +130,7 @@ def split_oversized(items: DataFrame, text: str = "text", label: str | Column |
     end = F.col("_flat")[F.col("_k") * 2]
     begin = F.greatest(start - overlap, F.lit(0))
     return cuts.select(
-        *[F.col("_row")[c].alias(c) for c in keep],
+        *[F.col("_row")[f"c{i}"].alias(f"{c}_in" if c in OUT else c) for i, c in enumerate(keep)],
         F.col("_label").alias("piece_label"),
         F.col("_k").alias("piece"),
         F.col("_n").alias("n_pieces"),
