@@ -24,7 +24,7 @@ def requeue_stale(jobs: DataFrame, now: Column, lease: int = LEASE_SECONDS) -> D
     """Jobs in work whose heartbeat is older than the lease are queued again, without an owner."""
     stale = (F.col("status") == "processing") & (F.col("heartbeat") < now - F.expr(f"interval {lease} seconds"))
     stale = F.coalesce(stale, F.lit(False))
-    return jobs.withColumn("status", F.when(stale, "queued").otherwise(F.col("status"))).withColumn("owner", F.when(~stale, F.col("owner")))
+    return jobs.withColumns({"status": F.when(stale, "queued").otherwise(F.col("status")), "owner": F.when(~stale, F.col("owner"))})
 
 
 def after_failure(jobs: DataFrame, now: Column, most: int = MAX_ATTEMPTS) -> DataFrame:
