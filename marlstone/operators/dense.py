@@ -62,6 +62,21 @@ def _unit(column: pa.Array, dim: int) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+def _first(score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """Columns of each row's k best scores, ties by id."""
+    n, wide = score.shape[1], 2 * k + 32
+    if n <= wide:
+        return np.lexsort((ids, -score), axis=1)[:, :k]
+    some = np.argpartition(-score, wide - 1, axis=1)[:, :wide]
+    part = np.take_along_axis(score, some, 1)
+    order = np.lexsort((np.take_along_axis(ids, some, 1), -part), axis=1)[:, :k]
+    out = np.take_along_axis(some, order, 1)
+    # where ties of the last one may lie outside of what was taken, all are sorted
+    for r in np.flatnonzero(np.take_along_axis(part, order, 1)[:, -1] <= part.min(1)):
+        out[r] = np.lexsort((ids[r], -score[r]))[:k]
+    return out
+
+
 def _block(rows: DataFrame, block: DataFrame, k: int, dim: int) -> DataFrame:
     got = block.toArrow()
     names, q = got.column("query_id").combine_chunks(), _unit(got.column("embedding").combine_chunks(), dim) if got.num_rows else np.empty((0, dim))
@@ -77,7 +92,7 @@ def _block(rows: DataFrame, block: DataFrame, k: int, dim: int) -> DataFrame:
             own = b.column(0).to_numpy()
             s = np.concatenate((best, q @ _unit(b.column(1), dim).T), 1)
             own = np.concatenate((ids, np.broadcast_to(own, (len(q), len(own)))), 1) if ids is not None else np.broadcast_to(own, (len(q), len(own)))
-            order = np.lexsort((own, -np.round(s, 9)), axis=1)[:, :k]
+            order = _first(np.round(s, 9), own, k)
             best, ids = np.take_along_axis(s, order, 1), np.take_along_axis(own, order, 1)
         if ids is not None:
             yield pa.RecordBatch.from_arrays([names.take(pa.array(np.repeat(np.arange(len(q)), ids.shape[1]))), pa.array(ids.ravel()), pa.array(best.ravel())], ["query_id", "chunk_id", "score"])

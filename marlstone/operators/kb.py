@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from marlstone.session import durable
+
 TABLES = ("docs", "chunks", "vec_chunks", "sparse_terms")
 CHILDREN = ("chunks", "vec_chunks", "sparse_terms")
 
@@ -36,12 +38,16 @@ def replace_docs(kb: dict[str, DataFrame], new: dict[str, DataFrame]) -> dict[st
 def remap(new: dict[str, DataFrame], live_chunks: DataFrame) -> dict[str, DataFrame]:
     """`new` with chunk ids that follow the greatest one of live_chunks, in order of doc and old id.
 
-    Numbers are given within a document and shifted by the counts of the documents before it, so no task sorts all
-    chunks; only the documents' counts pass one window. Rows of vectors and terms without a chunk are dropped.
+    Numbers are given within a document and shifted by the counts of the documents before it. These are summed within ranges
+    of documents, and the ranges' sums pass one window, so no task sees all. Rows of vectors and terms without a chunk are dropped.
     """
     ids = new["chunks"].select("doc", "chunk_id").distinct()
-    counts = ids.groupBy("doc").agg(F.count(F.lit(1)).alias("n"))
-    before = counts.select("doc", F.coalesce(F.sum("n").over(Window.orderBy("doc").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    counts = ids.groupBy("doc").agg(F.count(F.lit(1)).alias("n")).repartitionByRange("doc").withColumn("range", F.spark_partition_id())
+    counts = durable(counts, "counts")
+    earlier = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranges = counts.groupBy("range").agg(F.sum("n").alias("n")).select("range", earlier(Window.orderBy("range")).alias("ahead"))
+    inner = counts.select("doc", "range", earlier(Window.partitionBy("range").orderBy("doc")).alias("inside"))
+    before = inner.join(ranges, "range").select("doc", (F.col("ahead") + F.col("inside")).alias("before"))
     base = live_chunks.agg(F.coalesce(F.max("chunk_id"), F.lit(0)).cast("bigint").alias("base"))
     within = F.row_number().over(Window.partitionBy("doc").orderBy("chunk_id"))
     mapped = ids.withColumn("_k", within).join(before, "doc").crossJoin(F.broadcast(base)).select("chunk_id", (F.col("base") + F.col("before") + F.col("_k")).alias("_new"))

@@ -10,10 +10,29 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marlstone.functions.tokens import tokens
+from marlstone.session import durable
 
 K1, B, SCALE = 1.2, 0.75, 9
 
 
+def tokenised(chunks: DataFrame, split=tokens, text: str = "text") -> DataFrame:
+    """(chunk_id, tokens), written to the shared folder: the text is split once, for postings and lengths alike."""
+    return durable(chunks.select("chunk_id", split(F.col(text)).alias("tokens")), "tokens")
+
+
+class Index:
+    """Postings and statistics of a collection, written once and used by every batch of queries."""
+
+    def __init__(self, chunks: DataFrame, split=tokens, text: str = "text"):
+        self.split = split
+        parts = tokenised(chunks, split, text)
+        self.stats = statistics(parts.select("chunk_id", F.size("tokens").alias("len")))
+        self.postings = durable(postings(parts, lambda t: t, "tokens"), "postings")
+
+    def search(self, queries: DataFrame, k: int, allowed: DataFrame | None = None, k1: float = K1, b: float = B) -> DataFrame:
+        return bm25(self.postings, self.stats, queries, k, allowed, k1, b, self.split)
+
+
 def postings(chunks: DataFrame, split=tokens, text: str = "text") -> DataFrame:
     """(term, chunk_id, tf, len): len is the number of tokens of the chunk. Chunks without tokens have no rows."""
     exploded = chunks.select("chunk_id", split(F.col(text)).alias("_t")).select("chunk_id", F.size("_t").alias("len"), F.explode("_t").alias("term"))

@@ -44,6 +44,12 @@ class Collection:
     vectors: DataFrame
     terms: DataFrame
     dim: int = 64
+    index: lexical.Index | None = None
+
+    def lexical(self) -> lexical.Index:
+        if self.index is None:
+            self.index = lexical.Index(self.chunks)
+        return self.index
 
 
 def legs(c: Collection, queries: DataFrame, query_terms: DataFrame, k: int, where: Filter | None = None, keyword: bool = True) -> list[DataFrame]:
@@ -52,7 +58,7 @@ def legs(c: Collection, queries: DataFrame, query_terms: DataFrame, k: int, wher
     deep = max(4 * k, 20)
     out = [dense.dense_top_k(c.vectors, queries, deep, c.dim, allowed)]
     if keyword:
-        out.append(lexical.bm25(lexical.postings(c.chunks), lexical.statistics(lexical.lengths(c.chunks)), queries, deep, allowed))
+        out.append(c.lexical().search(queries, deep, allowed))
     out.append(sparse.sparse_top_k(c.terms, query_terms, c.chunks.count(), 4 * k, allowed))
     return out
 

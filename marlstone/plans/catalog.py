@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from marlstone.functions import tokens as tk
 from marlstone.operators import dense, evaluate, fusion, lexical, search, sparse
+from marlstone.session import durable
 
 
 DIM, K, EVERY = 64, 10, 50
@@ -157,8 +158,7 @@ def agg_len_stats(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _run_bm25(spark: SparkSession, d: str, k: int, split=tk.tokens, **kw: float) -> DataFrame:
-    chunks = chunks_of(spark, d)
-    return lexical.bm25(lexical.postings(chunks, split), lexical.statistics(lexical.lengths(chunks, split)), asked_texts(spark, d), k, split=split, **kw)
+    return lexical.Index(chunks_of(spark, d), split).search(asked_texts(spark, d), k, **kw)
 
 
 @register(_bm25(_tokens, 1.2, 0.75, K))
@@ -351,32 +351,35 @@ def ev_recall(spark: SparkSession, d: str) -> DataFrame:
     return evaluate.recall(_dense_run(spark, d), judged(spark, d)).withColumn("recall", F.round("recall", 6))
 
 
-@register()
-def ev_rrf200(spark: SparkSession, d: str) -> DataFrame:
+def full_rankings(spark: SparkSession, d: str, depth: int = 200) -> dict[str, DataFrame]:
+    """The harness's legs, each written once: all later steps start at these narrow rows."""
+    chunks, queries = chunks_of(spark, d), asked_chunks(spark, d)
+    terms, asked = durable(terms_of(spark, d), "terms"), asked_terms(spark, d)
+    return {
+        "dense": durable(_dense_run(spark, d, depth), "dense"),
+        "bm25": durable(lexical.Index(chunks, tk.plain_tokens).search(queries, depth, k1=1.5), "bm25"),
+        "sparse": durable(sparse.sparse_top_k(terms, asked, 0, depth, prune=False), "sparse"),
+        "pruned": durable(sparse.sparse_top_k(terms, asked, chunks.count(), depth), "pruned"),
+    }
+
+
+def _fused(spark: SparkSession, d: str, runs: dict[str, DataFrame], names: tuple[str, ...], depth: int = 200) -> DataFrame:
     """Fusion of full rankings, to a depth of 200, unscored chunks included."""
-    return _ranked(_full_fusion(spark, d, True).where("rank <= 100"))
+    ids, queries = table(spark, d, "chunks").select("chunk_id"), asked_chunks(spark, d)
+    return fusion.rrf([evaluate.full_ranking(runs[n], queries, ids, depth) for n in names])
 
 
-def _full_fusion(spark: SparkSession, d: str, prune: bool, depth: int = 200) -> DataFrame:
-    chunks, queries = chunks_of(spark, d).select("chunk_id", "text"), asked_chunks(spark, d)
-    terms = sparse.sparse_top_k(terms_of(spark, d), asked_terms(spark, d), chunks.count(), depth, prune=prune)
-    words = lexical.bm25(lexical.postings(chunks, tk.plain_tokens), lexical.statistics(lexical.lengths(chunks, tk.plain_tokens)), queries, depth, k1=1.5, split=tk.plain_tokens)
-    both = [evaluate.full_ranking(r, queries, chunks, depth) for r in (words, terms)]
-    return fusion.rrf([_dense_run(spark, d, depth), *both])
+@register()
+def ev_rrf200(spark: SparkSession, d: str) -> DataFrame:
+    return _ranked(_fused(spark, d, full_rankings(spark, d), ("dense", "bm25", "pruned")).where("rank <= 100"))
 
 
 @register()
 def ev_ablation(spark: SparkSession, d: str) -> DataFrame:
-    chunks, queries = chunks_of(spark, d), asked_chunks(spark, d)
-    words = lexical.bm25(lexical.postings(chunks, tk.plain_tokens), lexical.statistics(lexical.lengths(chunks, tk.plain_tokens)), queries, 100, k1=1.5, split=tk.plain_tokens)
-    runs = {
-        "dense": _dense_run(spark, d),
-        "bm25": words,
-        "sparse": sparse.sparse_top_k(terms_of(spark, d), asked_terms(spark, d), 0, 100, prune=False),
-        "3leg": _full_fusion(spark, d, False),
-        "3leg+prune": _full_fusion(spark, d, True),
-    }
-    return evaluate.ablation(runs, judged(spark, d))
+    runs = full_rankings(spark, d)
+    legs = {n: runs[n] for n in ("dense", "bm25", "sparse")}
+    legs |= {"3leg": durable(_fused(spark, d, runs, ("dense", "bm25", "sparse")), "fused"), "3leg+prune": durable(_fused(spark, d, runs, ("dense", "bm25", "pruned")), "fused")}
+    return evaluate.ablation(legs, durable(judged(spark, d), "judged"))
 
 
 from marlstone.plans import catalog_text  # noqa: E402, F401 - registers its queries

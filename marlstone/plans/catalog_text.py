@@ -263,3 +263,67 @@ def fn_backoff(spark: SparkSession, d: str) -> DataFrame:
     select user_id, count(*) as n, round(sum(value), 2) as total from s group by user_id, g""")
 def st_sessions(spark: SparkSession, d: str) -> DataFrame:
     return sessions(table(spark, d, "events")).select("user_id", "n", F.round("total", 2).alias("total"))
+
+
+# --- lines, sections, pages --------------------------------------------------------------------------
+
+
+def lines_of(spark: SparkSession, d: str) -> DataFrame:
+    """The chunks' lines as text lines of one size."""
+    rows = chunks_of(spark, d).select("doc", "page", "chunk_id", F.posexplode(F.split("text", "\n")).alias("_n", "_t"))
+    return rows.select("doc", "page", (F.col("chunk_id") * 10000 + F.col("_n")).alias("line_no"), F.trim("_t").alias("text"), F.lit(10.0).alias("size"), F.lit(False).alias("bold")).where("text <> ''")
+
+
+_LINES = f"""{_CH}, ln as (select doc, page, chunk_id * 10000 + i - 1 as line_no, trim(t[i]) as text from (
+      select doc, page, chunk_id, string_split(text, chr(10)) as t from ch), unnest(range(1, len(t) + 1)) as u(i) where trim(t[i]) <> '')"""
+_HEAD = (
+    "length(text) <= 120 and (length(text) <= 80 and (regexp_matches(text, '" + chunking.HEADING.replace("(?![A-Za-z0-9_])", "\\b") + "') or regexp_matches(text, '"
+    + chunking.NUMBERED + "')) or length(text) between 3 and 80 and text = upper(text) and regexp_matches(text, '[A-Z]{3}'))"
+)
+
+
+@register(f"""with {_LINES}, h as (select *, {_HEAD} as h from ln), g as (select *, sum(h::int) over (partition by doc order by line_no) as g from h)
+    select doc, cast(g as bigint) as ordinal, coalesce(max(text) filter (h), '') as heading, arg_min(page, line_no) as page, string_agg(text, chr(10) order by line_no) filter (not h) as text
+    from g group by doc, g having count(*) filter (not h) > 0""")
+def fn_detect_sections(spark: SparkSession, d: str) -> DataFrame:
+    return chunking.detect_sections(lines_of(spark, d))
+
+
+@register("""with s as (select doc_id as doc, length(t[i]) % 3 * 0.3 + 10.0 as size, i from (select doc_id, string_split(text, chr(10)) as t from documents where text is not null), unnest(range(1, len(t) + 1)) as u(i)),
+    b as (select doc, round(size * 2) / 2 as s, count(*) as n, min(i) as f from s group by 1, 2) select doc, cast(arg_max(s, n * 100000000 - f) as double) as body from b group by doc""")
+def agg_body_font(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "documents").where("text is not null").select(F.col("doc_id").alias("doc"), F.posexplode(F.split("text", "\n")).alias("line_no", "_t"))
+    return chunking.body_size(rows.select("doc", "line_no", (F.length("_t") % 3 * 0.3 + 10.0).alias("size")))
+
+
+@register(f"with {_CH} select doc, sum(length(text)) / count(distinct page) < 600 as scanned from ch group by doc")
+def agg_density(spark: SparkSession, d: str) -> DataFrame:
+    return chunking.scanned(chunks_of(spark, d), threshold=600)
+
+
+_PAGED = f"{_CH}, p as (select doc, page, trim(text, {_BLANKS} || chr(12) || chr(11)) as text from ch)"
+
+
+@register(f"with {_PAGED} select doc, page, text from p where text <> ''")
+def fn_md_sections_srv(spark: SparkSession, d: str) -> DataFrame:
+    md = F.concat(F.lit("<!-- page "), F.col("page").cast("string"), F.lit(" -->\n"), F.col("text"))
+    return chunks_of(spark, d).select("doc", F.inline(tx.marked_pages(md))).select("doc", "page", "text")
+
+
+@register(f"with {_PAGED} select doc, page, 2 as pieces, greatest(page + 1, 1) as guess from p where text <> ''")
+def fn_split_pages(spark: SparkSession, d: str) -> DataFrame:
+    n, m = F.col("page").cast("string"), (F.col("page") + 1).cast("string")
+    md = F.concat(F.lit("----- page "), n, F.lit(" -----\n"), F.col("text"), F.lit("\n## Page "), m, F.lit("\nend"))
+    rows = chunks_of(spark, d).where(tx.trimmed(F.col("text")) != "").select("doc", "page", md.alias("md"))
+    return rows.select("doc", "page", F.size(tx.page_pieces(F.col("md"))).alias("pieces"), tx.guessed_pages(F.col("md")).alias("guess"))
+
+
+@register("select slug, list_filter(list_transform(string_split(slug || ' , ,' || source || ',', ','), lambda x: trim(x)), lambda x: x <> '') as parts from (select distinct slug, source from docs where source is not null)")
+def flt_docs_csv(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "docs").where("source is not null").select("slug", "source").distinct()
+    return rows.select("slug", tx.csv_list(F.concat(F.col("slug"), F.lit(" , ,"), F.col("source"), F.lit(","))).alias("parts"))
+
+
+@register(f"with {_JOBS} select name, id, status from (select *, row_number() over (partition by name order by updated_at desc nulls last, id desc) as r from j where name is not null) where r = 1")
+def prj_job(spark: SparkSession, d: str) -> DataFrame:
+    return jobs.latest_per_document(jobs_of(spark, d)).select("name", "id", "status")
