@@ -32,7 +32,7 @@ CONFUSIONS = (
     ("m", "rn"), ("rn", "m"), ("d", "cl"), ("cl", "d"), ("w", "vv"), ("vv", "w"), ("u", "ii"), ("ii", "u"), ("n", "ri"), ("h", "li"), ("k", "lc"), ("li", "h"), ("m", "in"), ("in", "m"), ("u", "li"), ("nn", "rm"),
     ("n", "u"), ("u", "n"), ("h", "b"), ("b", "h"), ("o", "c"), ("c", "o"), ("a", "o"), ("v", "y"), ("y", "v"), ("fi", "h"), ("tt", "it"),
     ("и", "п"), ("п", "и"), ("и", "н"), ("н", "и"), ("н", "п"), ("п", "н"), ("ш", "щ"), ("щ", "ш"), ("ц", "п"), ("е", "с"), ("с", "е"), ("о", "с"), ("ы", "ьі"), ("ы", "ы1"), ("м", "и"), ("л", "п"), ("т", "г"), ("ю", "10"), ("ж", "*"), ("я", "л"),
-    ("é", "é"), ("ß", "b"), ("ß", "8"), ("ł", "t"), ("ł", "l"), ("ę", "e"), ("ą", "a"),
+    ("ü", "ii"), ("fi", "ﬁ"), ("fl", "ﬂ"), ("ß", "b"), ("ß", "8"), ("ł", "t"), ("ł", "l"), ("ę", "e"), ("ą", "a"),
 )
 #: a correction must be this much more frequent: for words with a sign among the letters, and for plain words
 SIGN_RATIO, PLAIN_RATIO, MIN_FREQUENT, MIN_LENGTH = 10, 40, 5, 4
@@ -175,7 +175,7 @@ def corrections(vocabulary: DataFrame) -> DataFrame:
 
 
 #: a word of small letters with one or two signs among them, whatever the collection says
-FORM = r"^(?=(?:.*\p{Ll}){3})\p{L}*[0156893@†$€](?:\p{L}+[0156893@†$€])?\p{L}*$"
+FORM = r"^(?=(?:.*\p{Ll}){3})\p{L}*[0156893@†$€ﬁﬂ](?:\p{L}+[0156893@†$€ﬁﬂ])?\p{L}*$"
 
 
 def findings(chunks: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
