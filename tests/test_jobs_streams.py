@@ -50,3 +50,22 @@ def test_sessions(spark):
     at = lambda m: datetime(2024, 1, 1) + timedelta(minutes=m)
     df = spark.createDataFrame([(1, at(0), 1.0), (1, at(29), 2.0), (1, at(80), 4.0), (2, at(0), 8.0)], "user_id int, ts timestamp, value double")
     assert sorted((r.user_id, r.n, r.total) for r in ingest.sessions(df).collect()) == [(1, 1, 4.0), (1, 2, 3.0), (2, 1, 8.0)]
+
+
+def test_leases_run_out_on_a_stream(spark, tmp_path):
+    at = lambda m: datetime(2024, 1, 1) + timedelta(minutes=m)
+    import time
+
+    for n, rows in enumerate([[(1, at(0)), (1, at(1))], [(2, at(60))], [(2, at(61)), (3, at(120))], [(4, at(121))]]):
+        spark.createDataFrame(rows, "job bigint, at timestamp").coalesce(1).write.parquet(str(tmp_path / f"b{n}"))
+        src = next((tmp_path / f"b{n}").glob("*.parquet"))
+        (tmp_path / "in").mkdir(exist_ok=True)
+        src.rename(tmp_path / "in" / f"{n}.parquet")
+        time.sleep(0.02)
+    beats = spark.readStream.schema("job bigint, at timestamp").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    q = ingest.expired_leases(beats).writeStream.format("memory").queryName("expired").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).start()
+    try:
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    assert sorted((r.job, r["last"]) for r in spark.sql("select * from expired").collect()) == [(1, at(1)), (2, at(61))]
