@@ -34,7 +34,15 @@ def word_tokens(text: Column) -> Column:
 def raw_tokens(text: Column) -> Column:
     """DOIs and arXiv ids, identifiers with operators, chemical formulae, sub- and superscripts; in this order."""
     text = F.coalesce(text, F.lit(""))
-    found = F.concat(*(F.regexp_extract_all(text, F.lit(p), F.lit(0)) for p in RAW_PATTERNS))
+    # cheap tests of what each pattern can't do without; few texts pass them
+    may = (
+        F.contains(text, F.lit("10.")) | text.rlike("(?i)arxiv:"),
+        text.rlike("[A-Za-z0-9_][+*/=<>!&%#@:|]"),
+        text.rlike("[A-Z][a-z]?[0-9]*[A-Z]"),
+        F.contains(text, F.lit("_")) | F.contains(text, F.lit("^")),
+    )
+    none = F.array().cast("array<string>")
+    found = F.concat(*(F.when(m, F.regexp_extract_all(text, F.lit(p), F.lit(0))).otherwise(none) for m, p in zip(may, RAW_PATTERNS)))
     return F.filter(F.transform(found, lambda t: F.lower(F.trim(t))), lambda t: F.length(t) >= 2)
 
 
