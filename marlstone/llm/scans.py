@@ -189,7 +189,7 @@ def findings(chunks: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     form = vocabulary.where(F.col("word").rlike(FORM) & (F.length("word") >= 5)).crossJoin(total).where(F.col("n") <= 3 + RARE_SHARE * F.col("total")).join(fixes, "word", "left_anti")
     stems = form.select("word", F.lit(None).cast("string").alias("correction"))
     all_fixes = durable(fixes.unionByName(stems), "corrections")
-    misread = words.distinct().join(all_fixes, "word").select("chunk_id", "word", "correction")
+    misread = words.join(all_fixes, "word").select("chunk_id", "word", "correction").distinct()
     parts = seen.select("chunk_id", F.explode("cuts").alias("c")).select("chunk_id", F.col("c.a").alias("a"), F.col("c.b").alias("b")).withColumn("joined", F.concat("a", "b")).withColumn("dashed", F.concat_ws("-", "a", "b"))
     forms = parts.select("joined", "dashed").distinct()
     n = vocabulary.select("word", "n")
