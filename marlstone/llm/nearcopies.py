@@ -242,17 +242,22 @@ def all_pairs(links: DataFrame, members: DataFrame) -> DataFrame:
     return across.unionByName(within).where("i <> j").select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b")).distinct()
 
 
-def groups(links: DataFrame, members: DataFrame, rounds: int = 40) -> DataFrame:
+def groups(links: DataFrame, members: DataFrame) -> DataFrame:
     """(id, group, links): the smallest id a record is connected with, and the number of its links between classes.
 
-    Labels shrink along the links and by pointer jumping, each round written to the shared folder.
+    Each round a record takes the smallest label of its neighbours, hands it to the record it was labelled with,
+    too (the root of its region), and jumps to its label's label; each round is written to the shared folder.
+    Labels only fall, and a round that changes none leaves equal labels along every link, so it ends there.
+    Regions merge as wholes: rounds grow with the logarithm of a component, not with its diameter.
     """
     edges = durable(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))), "edges")
     reps = members.select(F.col("rep").alias("v")).distinct()
     label = durable(reps.select("v", F.col("v").alias("g")), "labels")
-    for _ in range(rounds):
+    while True:
         near = edges.join(label.select(F.col("v").alias("b"), "g"), "b").groupBy(F.col("a").alias("v")).agg(F.min("g").alias("m"))
-        step = label.join(near, "v", "left").select("v", "g", F.least("g", F.coalesce("m", "g")).alias("h"))
+        own = label.join(near, "v", "left").select("v", "g", F.least("g", F.coalesce("m", "g")).alias("h"))
+        root = own.where("h < g").groupBy(F.col("g").alias("v")).agg(F.min("h").alias("m"))
+        step = own.join(root, "v", "left").select("v", "g", F.least("h", F.coalesce("m", "h")).alias("h"))
         hop = step.join(label.select(F.col("v").alias("h"), F.col("g").alias("k")), "h").select("v", "g", F.least("h", "k").alias("h"))
         done = durable(hop, "labels")
         label = done.select("v", F.col("h").alias("g"))

@@ -72,6 +72,22 @@ def test_groups(spark):
     assert group == want
 
 
+@pytest.mark.parametrize("order", ["shuffled", "falling"])
+def test_long_chains_are_one_group(spark, monkeypatch, order):
+    ids = [1, *range(200, 1, -1)]
+    if order == "shuffled":
+        random.Random(4).shuffle(ids)
+    chain = list(zip(ids, ids[1:])) + [(301, 302)]
+    links = spark.createDataFrame([(min(x), max(x), 0.7) for x in chain], "a bigint, b bigint, similarity double")
+    members = spark.createDataFrame([(i, i) for i in [*ids, 301, 302, 303]] + [(400, 1)], "id bigint, rep bigint")
+    rounds, write = [], nc.durable
+    monkeypatch.setattr(nc, "durable", lambda df, name: rounds.append(name) or write(df, name))
+    got = {r.id: (r.group, r.links) for r in nc.groups(links, members).collect()}
+    assert {i: g for i, (g, _) in got.items()} == {**dict.fromkeys([*ids, 400], 1), 301: 301, 302: 301, 303: 303}
+    assert sum(k for _, k in got.values()) == 2 * len(chain) + got[400][1] and got[303][1] == 0
+    assert rounds.count("labels") <= 16  # the first labels count as one
+
+
 def test_empty(spark):
     links, members, pairs = run(spark, [])
     assert pairs == set() and nc.groups(links, members).count() == 0
