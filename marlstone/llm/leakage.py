@@ -1,8 +1,8 @@
 """Passages of evaluation items inside a corpus, by spaced-seed hashing.
 
 A spaced seed is a mask over `SPAN` successive words that ignores fixed positions. The words a mask keeps
-are hashed at every place of the items and of the corpus; equal hashes join the two, and around each
-such hit the words are compared one by one. A run of SPAN equal words is hit by every mask, so no
+are hashed at every place of the items and of the corpus; equal hashes join the two, and on the diagonal of
+each such hit the words are compared one by one, as far as both texts go. A run of SPAN equal words is hit by every mask, so no
 exact overlap of that length is lost; an overlap with substituted words is hit wherever a mask ignores them.
 
 Map-only over the corpus: the items' seeds are the small side. Their bytes are summed first; items
@@ -24,9 +24,9 @@ from pyspark.sql import functions as F
 
 SPAN = 13
 MASKS = ("1111111111111", "1101100101011", "1110010011011", "1011011000111")
-CONTEXT = 32
 MISMATCH = 2
 BLOCK_BYTES = 8 << 20
+CELLS_AT_ONCE = 1 << 18
 FILTER_BITS = 22
 KEPT_WORDS = 1 << 20
 _WORD = re.compile(r"[^\W_]+")
@@ -107,33 +107,49 @@ class SeedIndex:
             found.append((np.repeat(at, many), self.place[k][np.repeat(low, many) + rank]))
         a, b = np.concatenate([x for x, _ in found]), np.concatenate([x for _, x in found])
         if len(a):
-            # hits on one diagonal within half a context of each other see the same words
-            key = np.stack([self.words.text_at(b), corpus.text_at(a), a - b, a // (CONTEXT // 2)])
+            key = np.stack([self.words.text_at(b), corpus.text_at(a), a - b])
             keep = np.unique(key, axis=1, return_index=True)[1]
             a, b = a[keep], b[keep]
         return a, b
 
     def overlaps(self, corpus: Words) -> tuple[np.ndarray, ...]:
-        """text, item, longest equal run, best tolerant score, place in the text: the best of each pair."""
+        """text, item, longest equal run, best tolerant score, first word of that run in the text: the best of each pair.
+
+        Every diagonal that a mask hits is measured as far as both texts go. Where the run is under SPAN, the
+        place is that of the hit.
+        """
         a, b = self.hits(corpus)
         text, item = corpus.text_at(a), self.words.text_at(b)
-        run, best = np.zeros(len(a), np.int32), np.zeros(len(a), np.int32)
-        score, top = np.zeros(len(a), np.int32), np.zeros(len(a), np.int32)
         low = np.maximum(corpus.starts[text] - a, self.words.starts[item] - b)
-        high = np.minimum(corpus.starts[text + 1] - a, self.words.starts[item + 1] - b)
-        for k in range(-CONTEXT, SPAN + CONTEXT):
-            ok = (low <= k) & (k < high)
-            same = ok & (corpus.values[np.where(ok, a + k, 0)] == self.words.values[np.where(ok, b + k, 0)])
-            run = (run + 1) * same
-            np.maximum(best, run, out=best)
-            score = np.where(ok, np.maximum(score + np.where(same, 1, -MISMATCH), 0), 0)
-            np.maximum(top, score, out=top)
+        size = np.minimum(corpus.starts[text + 1] - a, self.words.starts[item + 1] - b) - low
+        best, top, place = np.zeros(len(a), np.int64), np.zeros(len(a), np.int64), a - corpus.starts[text]
+        ends = np.cumsum(size)
+        i = 0
+        while i < len(a):
+            j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + CELLS_AT_ONCE, "right")))
+            first = np.cumsum(size[i:j]) - size[i:j]
+            owner = np.repeat(np.arange(j - i), size[i:j])
+            at = np.arange(len(owner))
+            k = at - (first - low[i:j])[owner]
+            same = corpus.values[a[i:j][owner] + k] == self.words.values[b[i:j][owner] + k]
+            run = at - np.maximum.accumulate(np.where(same, first[owner] - 1, at))
+            best[i:j] = np.maximum.reduceat(run, first)
+            # the score is the sum since its least value on the diagonal; a step down between diagonals starts it anew
+            step = np.where(same, 1, -MISMATCH)
+            total = np.cumsum(step) - owner * ((MISMATCH + 1) * len(owner) + 1)
+            before = total[first] - step[first]
+            top[i:j] = np.maximum.reduceat(total - np.minimum.accumulate(np.minimum(total, before[owner])), first)
+            end = np.flatnonzero(run == best[i:j][owner])
+            end = end[np.unique(owner[end], return_index=True)[1]]
+            place[i:j] = np.where(best[i:j] >= SPAN, place[i:j] + k[end] - best[i:j] + 1, place[i:j])
+            i = j
         order = np.lexsort((-top, -best, item, text))
-        text, item, best, top, a = text[order], item[order], best[order], top[order], a[order]
+        text, item, best, top, place = text[order], item[order], best[order], top[order], place[order]
         first = np.ones(len(text), bool)
         first[1:] = (text[1:] != text[:-1]) | (item[1:] != item[:-1])
-        place = a - corpus.starts[text]
-        return text[first], item[first], best[first], top[first], place[first]
+        if len(text):
+            top = np.maximum.reduceat(top, np.flatnonzero(first))  # may lie on another diagonal than the run
+        return text[first], item[first], best[first], top, place[first]
 
 
 def item_blocks(items: DataFrame, item_id: str, text: str, block_bytes: int = BLOCK_BYTES) -> list[DataFrame]:

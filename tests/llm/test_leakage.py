@@ -43,6 +43,37 @@ def test_as_brute_force(spark):
     assert got == {(i, j) for i, t in docs for j, e in items if grams(t) & grams(e)}
 
 
+def test_long_items_are_measured_whole(spark, monkeypatch):
+    w = [f"w{i}" for i in range(200)]
+    apart = w[:20] + ["other"] * 100 + w[120:]
+    docs = [(1, "before " + " ".join(w) + " after"), (2, " ".join(w[:90] + ["other"] + w[91:])), (3, " ".join(apart)), (4, " ".join(w[:14] + ["pad"] * 9 + w[50:60] + ["other"] + w[61:71]))]
+    want = {(1, 10): (200, 200), (2, 10): (109, 197), (3, 10): (80, 80), (4, 10): (14, 18)}
+    assert run(spark, docs, [(10, " ".join(w))]) == want
+    monkeypatch.setattr(lk, "CELLS_AT_ONCE", 150)
+    index = lk.SeedIndex([10], [" ".join(w)])
+    text, _, best, top, place = index.overlaps(lk.Words([t for _, t in docs], lk._Hashes()))
+    assert {(docs[t][0], 10): (int(x), int(y)) for t, x, y in zip(text, best, top)} == want and place.tolist() == [1, 91, 120, 0]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_diagonals_as_brute_force(seed):
+    r = random.Random(seed)
+    items = [[f"w{r.randrange(4)}" for _ in range(r.randint(13, 150))] for _ in range(4)]
+    docs = [[f"w{r.randrange(4)}" if r.random() < 0.1 else x for x in r.choice(items)[r.randrange(9) :]] for _ in range(12)]
+    index, corpus = lk.SeedIndex([*range(4)], [" ".join(x) for x in items]), lk.Words([" ".join(x) for x in docs], lk._Hashes())
+    a, b = index.hits(corpus)
+    want = {}
+    for t, i, d in zip(corpus.text_at(a), index.words.text_at(b), (a - corpus.starts[corpus.text_at(a)]) - (b - index.words.starts[index.words.text_at(b)])):
+        run_ = score = 0
+        for k in range(max(0, d), min(len(docs[t]), len(items[i]) + d)):
+            same = docs[t][k] == items[i][k - d]
+            run_, score = (run_ + 1) * same, max(0, score + (1 if same else -lk.MISMATCH))
+            best = want.get((t, i), (0, 0))
+            want[t, i] = max(best[0], run_), max(best[1], score)
+    text, item, best, top, _ = index.overlaps(corpus)
+    assert len(want) and {(t, i): x for t, i, *x in zip(text, item, best, top)} == {p: list(x) for p, x in want.items()}
+
+
 def test_items_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(lk, "BLOCK_BYTES", 200)
     items = [(i, f"item{i} " + ITEM) for i in range(9)]
