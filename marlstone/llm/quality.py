@@ -36,6 +36,7 @@ FUNCTIONS = (
 )
 N_PATTERNS = 1 << len(FUNCTIONS)
 MIN_CHARS = 20
+LONG, WINDOW = 400, 240
 
 _WORD = re.compile(r"[^\W\d_]+")
 _CELL = re.compile(r"\t|\s*\|\s*|\s+&\s+| {2,}|;|,(?=\S)")
@@ -46,6 +47,11 @@ _ENUM = re.compile(r"\s*(?:[-*•‣◦·–+]\s+\S|\(?(?:\d{1,3}|[a-z]|[ivx]{1,
 _LEADER = re.compile(r"(?:\.\s?){4,}\s*\d+\s*$|…+\s*\d+\s*$")
 _INDEX = re.compile(r"\s*\D{2,40}?(?:,\s*\d{1,4}(?:[-–]\d{1,4})?){1,12}\s*[.;]?\s*$")
 _REFERENCE = re.compile(r"\(\d{4}[a-z]?\)[,.:]?\s*(?:pp?\.\s*)?\d+\s*[-–]\s*\d+|^\s*\S+, \S{1,3}\. .*\(?\d{4}\)?|doi:|\b\d+\s*\(\d{4}\)", re.I)
+#: the same forms inside lines of LONG signs and more, where several follow each other; bounded, so that the time is linear
+_LEADERS = re.compile(r"(?:(?:\.\s?){4}|…)\s{0,20}\d+")
+_ENTRIES = re.compile(r"\D{2,40}?(?:,\s{0,4}\d{1,4}(?:[-–]\d{1,4})?){1,12}(?!\d)\s{0,4}[.;]?\s{0,4}")
+_REFERENCES = re.compile(r"\(\d{4}[a-z]?\)[,.:]?\s{0,4}(?:pp?\.\s{0,4})?\d{1,9}\s{0,4}[-–]\s{0,4}\d+|(?<!\S)\S{1,40}, \S{1,3}\. .{0,200}?\d{4}|doi:|\b\d{1,9}\s{0,4}\(\d{4}\)", re.I)
+_NUMBERS, _YEARS = re.compile(r",\s{0,4}\d"), re.compile(r"\d{4}")
 _KEYS = re.compile(r"^\s*(?:key ?words|index terms|schlüsselwörter|mots[- ]clés|palabras clave|parole chiave)\b", re.I)
 _MACHINE = re.compile(r"<[a-z/!][^<>]{0,200}>|^\W{0,2}[\dT:.\- ]{8,26}\W|^[0-9a-f]{6,16}[: ]\s*(?:[0-9a-f]{2,8} ){3}|\b\w+=\S+ \w+=\S+|[{}\[\]\"]{2}.*:|https?://\S{30}|\\x[0-9a-f]{2}", re.I)
 _SENTENCE = re.compile(r"(?:[^\W\d_]{2,}[,;:]?\s+){4}")
@@ -58,6 +64,31 @@ _BROKEN = re.compile("[�ÃÂâ€œ™©¤¢¬žŸ\x00\x01\x02]")
 _LINE_END = re.compile("\r\n|[\n\r\x0b\x0c\x85\u2028\u2029]")
 
 
+def long_contents(s: str) -> bool:
+    """Whether leaders to a number come more than once in LONG signs."""
+    return ("..." in s or ". ." in s or "…" in s) and sum(1 for _ in _LEADERS.finditer(s)) * LONG > len(s)
+
+
+def long_entries(s: str) -> bool:
+    """Whether a long line is made of index entries, references or contents: as one of them fills a short line, they
+    cover nearly all of it, or come more than once in LONG signs."""
+    # an entry has at most 49 signs and 14 for each of its numbers; every reference but a doi has four digits in a row
+    if len(_NUMBERS.findall(s)) * 63 >= 0.9 * len(s) and sum(m.end() - m.start() for m in _ENTRIES.finditer(s)) >= 0.9 * len(s):
+        return True
+    if long_contents(s):
+        return True
+    if "19" in s or "20" in s or "18" in s or "doi" in s.lower():
+        most = len(_YEARS.findall(s)) + s.lower().count("doi:")
+        return most * LONG > len(s) and sum(1 for _ in _REFERENCES.finditer(s)) * LONG > len(s)
+    return False
+
+
+def long_few_signs(s: str) -> bool:
+    """Whether more than half of a long line's windows have as few different signs as a short line of that length may."""
+    starts = [*range(0, len(s) - WINDOW, WINDOW), len(s) - WINDOW]
+    return 2 * sum(len(set(s[k : k + WINDOW])) <= WINDOW // 12 for k in starts) > len(starts)
+
+
 def votes(line: str, repeated: bool) -> int:
     """Bits of the labelling functions that fire on a line. On repeated lines those for prose abstain."""
     s = line.strip()
@@ -86,13 +117,13 @@ def votes(line: str, repeated: bool) -> int:
     bits |= (_ENUM.match(line) is not None) << 6
     if digits:
         leader = ("..." in s or ". ." in s or "…" in s) and _LEADER.search(s[-200:]) is not None
-        bits |= bool(leader or n < 400 and (_INDEX.fullmatch(s) or ("19" in s or "20" in s or "18" in s or "doi" in s) and _REFERENCE.search(s))) << 7
+        bits |= bool(leader or n >= LONG and long_entries(s) or n < LONG and (_INDEX.fullmatch(s) or ("19" in s or "20" in s or "18" in s or "doi" in s) and _REFERENCE.search(s))) << 7
     elif _KEYS.match(s):
         bits |= 1 << 7
     separators = max(s.count(";"), s.count(",") if not digits else 0)
     bits |= (separators >= 2 and len(words) <= 3 * (separators + 1) and common * 6 <= len(words)) << 8
     bits |= (symbols > 0.28 * solid) << 9
-    bits |= (8 <= n < 400 and len(set(s)) <= max(3, n // 12) or symbols > 0.1 * solid and _RUN.search(s) is not None and _LEADER.search(s) is None) << 10
+    bits |= ((long_few_signs(s) if n >= LONG else n >= 8 and len(set(s)) <= max(3, n // 12)) or symbols > 0.1 * solid and _RUN.search(s) is not None and _LEADER.search(s) is None and not (n >= LONG and long_contents(s))) << 10
     if n >= 8 and (not usual or symbols > 0.2 * solid):
         odd = sum(len(w) for w in words if len(w) > 22 or len(w) > 1 and _VOWELS.isdisjoint(w))
         mixed = sum(len(t) for t in s.split() if len(t) > 24) if n > 24 else 0

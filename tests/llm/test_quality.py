@@ -21,6 +21,20 @@ def test_types(spark):
     assert all(abs(r.p_prose + r.p_list + r.p_table + r.p_junk - 1) < 1e-9 for r in got.values())
 
 
+def test_forms_in_long_lines(spark):
+    bit = lambda line, name: q.votes(line, False) >> [n for n, _ in q.FUNCTIONS].index(name) & 1
+    index = " ".join(f"Abbott, Edward, {i}, {i + 9}-{i + 12}; Lakes, deep, {i + 3};" for i in range(40))
+    references = " ".join(f"Smith, J. and Doe, K. ({1950 + i}) On the layers of lakes. River Studies {i}(2), {i}-{i + 9}." for i in range(30))
+    contents = " ".join(f"{i}.1 Which Jumping Quick Zebras Mix ............ {i * 7}" for i in range(40)) + " end of the contents"
+    assert [bit(x, "entry_form") for x in (index, references, contents)] == [1, 1, 1]
+    few = " ".join(("abba", "baab", "acab")[i * 7 % 3] for i in range(200))
+    prose = PROSE * 6 + " As was shown (1998), and then by Smith, J. in 2001, 12 of them are old. " + PROSE * 6
+    assert bit(few, "few_signs") and not bit(prose, "few_signs") and not bit(prose, "entry_form")
+    assert not bit(contents, "few_signs")
+    got = run(spark, [PROSE] * 20 + [prose, index, few])
+    assert [got[i].text_type for i in (20, 21, 22)] == ["prose", "list", "junk"]
+
+
 def test_more_than_half_counts(spark):
     got = run(spark, [PROSE + "\n" + TABLES[0][:60], PROSE[:40] + "\n" + TABLES[0]])
     assert got[0].text_type == "prose" and got[1].text_type == "table"
