@@ -35,43 +35,24 @@ _PATTERNS = (
 
 
 def boundaries(text: str, reach: int) -> tuple[np.ndarray, np.ndarray]:
-    """Cut positions with their kinds. Weaker kinds are looked for only where stronger ones lie more than
-    half of `reach` apart; of positions closer than reach/64 the strongest stays."""
-    n, grain = len(text), max(1, reach // 64)
+    """Every natural cut position with its strongest kind, and hard ones, a quarter of `reach` apart, where natural
+    ones lie more than half of `reach` apart."""
+    n = len(text)
     kind_at = {0: 0, n: 0}
-    for kinds in ((1, 2, 3), (4,), (5,)):
-        pos = sorted(kind_at)
-        gaps = [(a, b) for a, b in zip(pos, pos[1:]) if b - a > reach // 2]
-        for kind in kinds:
-            pattern = _PATTERNS[kind - 1][1]
-            for a, b in gaps:
-                for m in pattern.finditer(text, a, b):
-                    if a < m.end() < b:
-                        kind_at.setdefault(m.end(), kind)
+    for kind, pattern in _PATTERNS:
+        for m in pattern.finditer(text):
+            kind_at.setdefault(m.end(), kind)
     pos = sorted(kind_at)
     step = max(1, reach // 4)
     for a, b in zip(pos, pos[1:]):
         for p in range(a + step, b, step) if b - a > reach // 2 else ():
             kind_at[p] = 6
-    kept: list[int] = [0]
-    for p in sorted(kind_at)[1:-1]:
-        if kept[-1] and p - kept[-1] < grain:
-            if kind_at[p] < kind_at[kept[-1]]:
-                kept[-1] = p
-        else:
-            kept.append(p)
-    kept.append(n)
-    return np.array(kept, np.int64), np.array([kind_at[p] for p in kept], np.int64)
+    pos = sorted(kind_at)
+    return np.array(pos, np.int64), np.array([kind_at[p] for p in pos], np.int64)
 
 
-def cut_positions(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[int, int]]:
-    """(position, kind) of every cut, the end of the text last. Texts within the limit have no other."""
-    n, reach = len(text), limit - overlap
-    if n <= limit:
-        return [(n, 0)]
-    pos, kind = boundaries(text, reach)
-    pieces = 1 + -(-(n - limit) // reach)
-    target = n / pieces
+def least_cover(pos: np.ndarray, kind: np.ndarray, limit: int, reach: int, target: float) -> tuple[list[tuple[int, int]], float]:
+    """The cover of least cost whose cuts are among the given positions, and its cost; infinite where there is none."""
     charge = np.array(PENALTY)[kind]
     best = np.full(len(pos), np.inf)
     best[0] = 0.0
@@ -94,7 +75,27 @@ def cut_positions(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list
     while i:
         cuts.append((int(pos[i]), int(kind[i])))
         i = int(back[i])
-    return cuts[::-1]
+    return cuts[::-1], float(best[-1])
+
+
+def cut_positions(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[int, int]]:
+    """(position, kind) of every cut, the end of the text last. Texts within the limit have no other.
+
+    Weaker kinds are left out as long as a cover with one of them would cost more than the one found: it has no fewer
+    than the least number of pieces, and no cut is cheaper than the cheapest kind in the text.
+    """
+    n, reach = len(text), limit - overlap
+    if n <= limit:
+        return [(n, 0)]
+    pos, kind = boundaries(text, reach)
+    pieces = 1 + -(-(n - limit) // reach)
+    cheapest = min((PENALTY[k] for k in set(kind[1:-1].tolist())), default=0.0)
+    for weakest in (3, 4, 6):
+        kept = kind <= weakest
+        cuts, cost = least_cover(pos[kept], kind[kept], limit, reach, n / pieces)
+        if weakest == 6 or cost < PIECE_CHARGE * pieces + PENALTY[weakest + 1] + (pieces - 2) * cheapest:
+            break
+    return cuts
 
 
 def _cuts_udf(limit: int, overlap: int):

@@ -2,7 +2,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from marlstone.llm.splitter import KINDS, cut_positions, split_oversized
+from marlstone.llm.splitter import _PATTERNS, IMBALANCE, KINDS, PENALTY, PIECE_CHARGE, cut_positions, split_oversized
 
 
 def pieces(text, limit, overlap):
@@ -33,6 +33,33 @@ def test_natural_places_first():
     assert "hard" in {k for _, _, k in check("x" * 5000, 2000, 200)}
 
 
+@pytest.mark.parametrize("words", range(400, 410))
+def test_long_runs_with_a_natural_cover_are_not_cut(words):
+    text = "ab " * words + "x" * 1799 + " " + "ab " * 400
+    assert "hard" not in {k for _, _, k in check(text, 2000, 200)}
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.text(alphabet="aab .\n,", min_size=40, max_size=260), st.integers(30, 60), st.integers(0, 4))
+def test_least_cost_of_all_boundaries(text, limit, overlap):
+    if len(text) <= limit:
+        return
+    reach = limit - overlap
+    kind_at = {0: 0, len(text): 0}
+    for kind, pattern in _PATTERNS:
+        for m in pattern.finditer(text):
+            kind_at.setdefault(m.end(), kind)
+    pos = sorted(kind_at)
+    target = len(text) / (1 + -(-(len(text) - limit) // reach))
+    price = lambda a, b, k: IMBALANCE * ((b - a - target) / target) ** 2 + PENALTY[k] + PIECE_CHARGE
+    best = {0: 0.0}
+    for b in pos[1:]:
+        best[b] = min((best[a] + price(a, b, kind_at[b]) for a in pos if a < b and b - a <= (reach if a else limit)), default=float("inf"))
+    cuts = cut_positions(text, limit, overlap)
+    got = sum(price(a, b, k) for a, (b, k) in zip([0, *(p for p, _ in cuts)], cuts))
+    assert got <= best[len(text)] + 1e-6
+
+
 def test_exactly_the_limit_is_one_piece():
     assert len(cut_positions("a" * 2000)) == 1 and len(cut_positions("a" * 2001)) == 2
 
