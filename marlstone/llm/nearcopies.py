@@ -31,6 +31,7 @@ SHINGLE, MIN_WORDS, SIMILARITY = 3, 20, 0.6
 SKETCH_BITS, BLOCK_BITS = 22, 12
 TILE_ROWS, PAIRS_AT_ONCE = 4096, 1 << 21
 KEPT_WORDS = 1 << 20
+ROWS_AT_ONCE = 1 << 11
 _WORD = re.compile(r"[^\W_]+")
 
 
@@ -213,6 +214,31 @@ def candidates(entries: DataFrame, similarity: float) -> DataFrame:
     return laid.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
+def common_counts(batch: pa.RecordBatch) -> np.ndarray:
+    """Values that the sorted sets x and y of each row share: both are merged, equal values stand side by side."""
+    each = [batch.column(c) for c in ("x", "y")]
+    rows = np.concatenate([np.repeat(np.arange(len(c)), np.diff(c.offsets.to_numpy())) for c in each])
+    values = np.concatenate([c.flatten().to_numpy() for c in each])
+    order = np.lexsort((values, rows))
+    rows, values = rows[order], values[order]
+    same = (rows[1:] == rows[:-1]) & (values[1:] == values[:-1])
+    return np.bincount(rows[1:][same], minlength=batch.num_rows)
+
+
+def intersected(pairs: DataFrame) -> DataFrame:
+    """(a, b, _c, _u): how many values the sorted sets x and y share, and how many they have together."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, ROWS_AT_ONCE):
+                part = batch.slice(k, ROWS_AT_ONCE)
+                common = common_counts(part)
+                sizes = sum(np.diff(part.column(c).offsets.to_numpy()) for c in ("x", "y"))
+                yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b"), pa.array(common, pa.int32()), pa.array(sizes - common, pa.int32())], ["a", "b", "_c", "_u"])
+
+    return pairs.select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint, _c int, _u int")
+
+
 def near_copies(records: DataFrame, record: str = "chunk_id", text: str = "text", shingle: int = SHINGLE, min_words: int = MIN_WORDS, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
     """Links (a, b, similarity), a < b, between class representatives; membership (id, rep).
 
@@ -228,8 +254,7 @@ def near_copies(records: DataFrame, record: str = "chunk_id", text: str = "text"
     possible = candidates(prefixes(classes, frequency_table(classes), similarity), similarity)
     left = classes.select(F.col("id").alias("a"), F.col("set").alias("x"))
     right = classes.select(F.col("id").alias("b"), F.col("set").alias("y"))
-    common = F.size(F.array_intersect("x", "y"))
-    met = possible.join(left, "a").join(right, "b").select("a", "b", common.alias("_c"), (F.size("x") + F.size("y") - common).alias("_u"))
+    met = intersected(possible.join(left, "a").join(right, "b"))
     links = met.where(F.col("_c") >= F.lit(similarity) * F.col("_u") - 1e-9).groupBy("a", "b").agg(F.max(F.col("_c") / F.col("_u")).alias("similarity"))
     return durable(links, "links"), membership.select("id", "rep").distinct()
 

@@ -72,6 +72,15 @@ def test_groups(spark):
     assert group == want
 
 
+def test_sorted_sets_are_merged(spark, monkeypatch):
+    r = random.Random(6)
+    rows = [(i, -i, sorted(r.sample(range(-50, 50), r.randint(0, 60))), sorted(r.sample(range(-50, 50), r.randint(1, 60)))) for i in range(40)]
+    monkeypatch.setattr(nc, "ROWS_AT_ONCE", 7)
+    pairs = spark.createDataFrame(rows, "a bigint, b bigint, x array<bigint>, y array<bigint>")
+    assert {tuple(x) for x in nc.intersected(pairs).collect()} == {(a, b, len({*x} & {*y}), len({*x} | {*y})) for a, b, x, y in rows}
+    assert nc.intersected(pairs.where("false")).count() == 0
+
+
 @pytest.mark.parametrize("order", ["shuffled", "falling"])
 def test_long_chains_are_one_group(spark, monkeypatch, order):
     ids = [1, *range(200, 1, -1)]
