@@ -109,6 +109,11 @@ def fn_strip_xml(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").where(F.col("text").contains("<")).select("doc_id", tx.strip_xml(F.col("text")).alias("text"))
 
 
+@register(f"""select doc_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(text, '<[^>]*>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&'), '\\s+', ' ', 'g'), {_BLANKS} || chr(12) || chr(11)) as text from documents""")
+def fn_strip_xml_all(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", tx.strip_xml(F.col("text")).alias("text"))
+
+
 @register(f"with {_DOCS} select slug, case m.ocr when 'marker' then 'marker2/surya' when 'tesseract' then 'tesseract' when 'pdfjs' then 'none (pdfjs)' when 'ocr' then 'ocr server' when 'unknown' then 'unknown (pre-2026-08-27)' else m.ocr end as label from ld")
 def prj_fmt_ocr(spark: SparkSession, d: str) -> DataFrame:
     return kb.latest_docs(table(spark, d, "docs")).select("slug", tx.ocr_label(F.col("ocr")).alias("label"))

@@ -42,6 +42,11 @@ def test_as_oracle(spark, db, name):
     assert got == want
 
 
+def test_tags_are_stripped_from_all_documents(spark):
+    df = entry.queries()["fn_strip_xml_all"](spark, DIR)
+    assert df.count() == spark.read.parquet(f"{DIR}/documents.parquet").count() > entry.queries()["fn_strip_xml"](spark, DIR).count()
+
+
 def test_entry(spark):
     df = entry.entry(spark)
     assert df.columns == ["query_id", "position", "chunk_id", "doc", "page", "section", "score", "snippet"]
