@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marlstone.functions.text import sentences, trimmed
+from marlstone.functions.text import _CUT, _END, page_pieces, sentences, trimmed
+from marlstone.operators.numbering import running_sum
 
 MAX_LENGTH, SMALL_LENGTH = 2000, 600
 # fixed values: words that begin a heading, and numbered headings
@@ -17,19 +18,26 @@ NUMBERED = r"^\s*\d+(\.\d+)*\.?\s+\S"
 
 
 def pack(sents: Column, limit: int) -> Column:
-    """Sentences in groups: a group ends before the sentence that would bring it over the limit; a longer one stays whole."""
-    kind = "struct<groups:array<array<string>>,current:array<string>,length:int>"
-    start = F.struct(F.array().cast("array<array<string>>").alias("groups"), F.array().cast("array<string>").alias("current"), F.lit(0).alias("length")).cast(kind)
+    """Sentences in groups: a group ends before the sentence that would bring it over the limit; a longer one stays whole.
 
-    def step(acc: Column, s: Column) -> Column:
-        full = (acc["length"] + F.length(s) > limit) & (F.size(acc["current"]) > 0)
+    The fold carries lengths only and appends the places where groups begin; the groups are slices of the sentences.
+    """
+    kind = "struct<starts:array<int>,i:int,length:int>"
+    start = F.struct(F.array().cast("array<int>").alias("starts"), F.lit(0).alias("i"), F.lit(0).alias("length")).cast(kind)
+
+    def step(acc: Column, n: Column) -> Column:
+        new = (acc["i"] == 0) | (acc["length"] + n > limit)
         return F.struct(
-            F.when(full, F.concat(acc["groups"], F.array(acc["current"]))).otherwise(acc["groups"]).alias("groups"),
-            F.when(full, F.array(s)).otherwise(F.concat(acc["current"], F.array(s))).alias("current"),
-            F.when(full, F.length(s)).otherwise(acc["length"] + F.length(s)).alias("length"),
+            F.when(new, F.array_append(acc["starts"], acc["i"] + 1)).otherwise(acc["starts"]).alias("starts"),
+            (acc["i"] + 1).alias("i"),
+            F.when(new, n).otherwise(acc["length"] + n).alias("length"),
         ).cast(kind)
 
-    return F.aggregate(sents, start, step, lambda acc: F.when(F.size(acc["current"]) > 0, F.concat(acc["groups"], F.array(acc["current"]))).otherwise(acc["groups"]))
+    def groups(acc: Column) -> Column:
+        ends = F.concat(F.slice(acc["starts"], 2, F.greatest(F.size(acc["starts"]) - 1, F.lit(0))), F.array(acc["i"] + 1))
+        return F.when(F.size(acc["starts"]) == 0, F.array().cast("array<array<string>>")).otherwise(F.zip_with(acc["starts"], ends, lambda a, b: F.slice(sents, a, b - a)))
+
+    return F.aggregate(F.transform(sents, F.length), start, step, groups)
 
 
 def chunk_sections(sections: DataFrame, limit: int = MAX_LENGTH, openers: str = r'[A-Z0-9("]') -> DataFrame:
@@ -73,8 +81,8 @@ def group_lines(glyphs: DataFrame, key: str = "doc") -> DataFrame:
     joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_k", "_t"))), lambda r: r["_t"]), "")
     bold = F.bool_or(F.coalesce(F.col("font").rlike("(?i)bold|heavy|black|semibold|demi"), F.lit(False)))
     lines = spaced.groupBy(key, "page", "_y").agg(trimmed(F.regexp_replace(joined, "[ \t]+", " ")).alias("text"), F.max("size").alias("size"), bold.alias("bold")).where("text <> ''")
-    down = Window.partitionBy(key).orderBy("page", F.desc("_y"))
-    return lines.select(key, "page", F.row_number().over(down).alias("line_no"), "text", "size", "bold")
+    numbered = running_sum(lines, F.lit(1), [key], [F.col("page"), F.desc("_y")], "line_no")
+    return numbered.select(key, "page", F.col("line_no").cast("int").alias("line_no"), "text", "size", "bold")
 
 
 def body_size(lines: DataFrame, key: str = "doc") -> DataFrame:
@@ -93,8 +101,7 @@ def is_heading(text: Column, size: Column, bold: Column, body: Column) -> Column
 def detect_sections(lines: DataFrame, key: str = "doc") -> DataFrame:
     """(doc, ordinal, heading, page, text): runs of lines from a heading to the next; headings without lines are dropped."""
     marked = lines.join(body_size(lines, key), key).withColumn("_h", F.coalesce(is_heading(F.col("text"), F.col("size"), F.col("bold"), F.col("body")), F.lit(False)))
-    w = Window.partitionBy(key).orderBy("line_no")
-    grouped = marked.withColumn("_g", F.sum(F.col("_h").cast("int")).over(w))
+    grouped = running_sum(marked, F.col("_h").cast("int"), [key], ["line_no"], "_g")
     parts = F.transform(F.sort_array(F.collect_list(F.when(~F.col("_h"), F.struct("line_no", "text")))), lambda r: r["text"])
     return (
         grouped.groupBy(key, "_g")
@@ -105,17 +112,36 @@ def detect_sections(lines: DataFrame, key: str = "doc") -> DataFrame:
 
 
 def markdown_sections(documents: DataFrame, key: str = "doc", text: str = "text") -> DataFrame:
-    """(doc, ordinal, heading, page, text) by headings of one to four #; all on page 1. A blank heading is `(section)`."""
-    lines = documents.select(key, F.posexplode(F.split(text, "\n")).alias("_n", "_l"))
-    head = F.regexp_extract("_l", r"^#{1,4}\s+(.*)$", 1)
-    marked = lines.withColumn("_h", F.col("_l").rlike(r"^#{1,4}\s+")).withColumn("_title", F.trim(head))
-    g = marked.withColumn("_g", F.sum(F.col("_h").cast("int")).over(Window.partitionBy(key).orderBy("_n")))
-    body = F.transform(F.sort_array(F.collect_list(F.when(~F.col("_h"), F.struct("_n", "_l")))), lambda r: r["_l"])
-    title = F.max(F.when(F.col("_h"), F.when(F.col("_title") == "", "(section)").otherwise(F.col("_title"))))
-    out = g.groupBy(key, "_g").agg(F.coalesce(title, F.lit("")).alias("heading"), trimmed(F.array_join(body, "\n")).alias("text")).where("text <> ''")
-    return out.select(key, F.col("_g").alias("ordinal"), "heading", F.lit(1).alias("page"), "text")
-
-
-def scanned(pages: DataFrame, key: str = "doc", threshold: int = 40) -> DataFrame:
-    """(doc, scanned): fewer than threshold characters a page. Needs (doc, page, text)."""
-    return pages.groupBy(key).agg((F.sum(F.length(F.coalesce("text", F.lit("")))) / F.countDistinct("page") < threshold).alias("scanned"))
+    """(doc, ordinal, heading, page, text) of markdown documents, in one of three ways, by what a document has.
+
+    Two or more texts between page markers: one section each, headed `Page i` and on page i, counted in order. Else by
+    headings of one to four #, all on page 1, a blank heading being `(section)`. Else the whole text, as it is.
+    Null texts have no sections. key names a row. A document is taken apart within its row: nothing is shuffled.
+    """
+    row = documents.where(F.col(text).isNotNull()).select(key, F.col(text).alias("_t"), page_pieces(F.col(text)).alias("_p"))
+    paged = F.transform("_p", lambda p, i: F.struct(F.concat(F.lit("Page "), (i + 1).cast("string")).alias("heading"), (i + 1).alias("page"), p.alias("text")))
+    # every heading line is put behind a sign of its own, then the text is cut there
+    marked = F.regexp_replace("_t", r"(?md)^(#{1,4}[^\S\n]+[^\n\r\u2028\u2029]*)$", _CUT + "$1" + _END)
+    parts = F.transform(F.split(marked, _CUT), lambda p, i: F.struct(
+        F.when(i == 0, "").otherwise(F.coalesce(F.nullif(trimmed(F.regexp_extract(p, r"^#{1,4}\s+([^" + _END + "]*)" + _END, 1)), F.lit("")), F.lit("(section)"))).alias("heading"),
+        F.lit(1).alias("page"),
+        trimmed(F.when(i == 0, p).otherwise(F.regexp_replace(p, f"^[^{_END}]*{_END}", ""))).alias("text"),
+    ))
+    headed = F.filter(parts, lambda p: p["text"] != "")
+    whole = F.array(F.struct(F.lit("").alias("heading"), F.lit(1).alias("page"), F.col("_t").alias("text")))
+    sections = F.when(F.size("_p") > 1, paged).when(F.size(headed) > 0, headed).otherwise(whole)
+    return row.select(key, F.posexplode(sections).alias("ordinal", "_s")).select(key, "ordinal", "_s.heading", "_s.page", "_s.text")
+
+
+def page_count(sections: DataFrame, key: str = "doc") -> DataFrame:
+    """(doc, pages): the greatest page of a document's sections, at least 1."""
+    return sections.groupBy(key).agg(F.greatest(F.coalesce(F.max("page"), F.lit(1)), F.lit(1)).alias("pages"))
+
+
+def scanned(sections: DataFrame, pages: DataFrame, key: str = "doc", threshold: int = 40) -> DataFrame:
+    """(doc, scanned): fewer than threshold characters a page; never where the number of pages is not above 0.
+
+    sections (doc, text) and pages (doc, pages), a row per document; a document without text has 0 characters.
+    """
+    size = sections.groupBy(key).agg(F.sum(F.length(F.coalesce("text", F.lit("")))).alias("_n"))
+    return pages.join(size, key, "left").select(key, F.coalesce((F.col("pages") > 0) & (F.coalesce("_n", F.lit(0)) / F.col("pages") < threshold), F.lit(False)).alias("scanned"))

@@ -6,10 +6,11 @@ counts are derived from chunks, so no step can leave them stale.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.session import durable
+from marlstone.operators import jobs as queue
+from marlstone.operators.numbering import running_sum
 
 TABLES = ("docs", "chunks", "vec_chunks", "sparse_terms")
 CHILDREN = ("chunks", "vec_chunks", "sparse_terms")
@@ -38,19 +39,13 @@ def replace_docs(kb: dict[str, DataFrame], new: dict[str, DataFrame]) -> dict[st
 def remap(new: dict[str, DataFrame], live_chunks: DataFrame) -> dict[str, DataFrame]:
     """`new` with chunk ids that follow the greatest one of live_chunks, in order of doc and old id.
 
-    Numbers are given within a document and shifted by the counts of the documents before it. These are summed within ranges
-    of documents, and the ranges' sums pass one window, so no task sees all. Rows of vectors and terms without a chunk are dropped.
+    Numbers run within ranges of document and id together, so a document that holds a large share of the chunks is
+    spread over many tasks. Rows of vectors and terms without a chunk are dropped.
     """
-    ids = new["chunks"].select("doc", "chunk_id").distinct()
-    counts = ids.groupBy("doc").agg(F.count(F.lit(1)).alias("n")).repartitionByRange("doc").withColumn("range", F.spark_partition_id())
-    counts = durable(counts, "counts")
-    earlier = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranges = counts.groupBy("range").agg(F.sum("n").alias("n")).select("range", earlier(Window.orderBy("range")).alias("ahead"))
-    inner = counts.select("doc", "range", earlier(Window.partitionBy("range").orderBy("doc")).alias("inside"))
-    before = inner.join(ranges, "range").select("doc", (F.col("ahead") + F.col("inside")).alias("before"))
+    ids = new["chunks"].select(F.lit(0).alias("_all"), "doc", "chunk_id").distinct()
+    numbered = running_sum(ids, F.lit(1), ["_all"], ["doc", "chunk_id"], "_k")
     base = live_chunks.agg(F.coalesce(F.max("chunk_id"), F.lit(0)).cast("bigint").alias("base"))
-    within = F.row_number().over(Window.partitionBy("doc").orderBy("chunk_id"))
-    mapped = ids.withColumn("_k", within).join(before, "doc").crossJoin(F.broadcast(base)).select("chunk_id", (F.col("base") + F.col("before") + F.col("_k")).alias("_new"))
+    mapped = numbered.crossJoin(F.broadcast(base)).select("chunk_id", (F.col("base") + F.col("_k")).alias("_new"))
     out = {"docs": new["docs"]}
     for t in CHILDREN:
         columns = new[t].columns
@@ -91,3 +86,23 @@ def status(docs: DataFrame, chunks: DataFrame) -> DataFrame:
     """(slug, source, pages, chunks, stored_chunks, lang, ocr, state): documents with the real number of their chunks."""
     real = chunks.select("doc", "chunk_id").distinct().groupBy(F.col("doc").alias("slug")).agg(F.count(F.lit(1)).alias("real"))
     return latest_docs(docs).join(real, "slug", "left").select("slug", "source", "pages", F.coalesce("real", F.lit(0)).alias("chunks"), F.col("chunks").alias("stored_chunks"), "lang", "ocr", F.lit("indexed").alias("state"))
+
+
+def overview(docs: DataFrame, chunks: DataFrame, jobs: DataFrame, pending: DataFrame, recent: int = 5) -> DataFrame:
+    """The whole state in one table (part, key, label, status, progress, chunks, error): `docs`, the jobs in the `queue`,
+    the `recent` last finished ones, and one row `remote` with the number of remote jobs that were not pulled, if there are any.
+
+    pending: (job_id, pulled), one row per file of a remote job.
+    """
+    null = F.lit(None).cast("string")
+
+    def part(name: str, key: Column, label: Column, status: Column, progress: Column, n: Column, error: Column) -> list[Column]:
+        return [F.lit(name).alias("part"), key.cast("string").alias("key"), label.alias("label"), status.alias("status"), progress.alias("progress"), n.cast("bigint").alias("chunks"), error.alias("error")]
+
+    nothing = F.lit(None)
+    view = queue.job_view(jobs)
+    listed = status(docs, chunks).select(*part("docs", F.col("slug"), F.col("source"), F.col("state"), null, F.col("chunks"), null))
+    waiting = queue.active(view).select(*part("queue", F.col("id"), F.col("label"), F.col("status"), F.col("progress"), nothing, null))
+    done = queue.recent(view, recent).select(*part("recent", F.col("id"), F.col("label"), F.col("status"), null, F.col("chunks"), F.col("error")))
+    remote = pending.where(~F.coalesce("pulled", F.lit(False))).agg(F.countDistinct("job_id").alias("n")).where("n > 0").select(*part("remote", null, null, null, null, F.col("n"), null))
+    return listed.unionByName(waiting).unionByName(done).unionByName(remote)

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,23 +29,62 @@ def local_session(cores: str | int = 8, shuffle_partitions: int = 8, app: str =
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder the cluster names for checkpoints; a local one only where none is named."""
+    """The folder the cluster names for checkpoints. Only a local master may go without: it gets a folder of its own, removed at exit."""
     named = spark.sparkContext.getConf().get(CHECKPOINT_KEY) or spark.conf.get(CHECKPOINT_KEY, None)
     if not named:
         jvm = spark.sparkContext._jsc.sc().getCheckpointDir()
         named = jvm.get() if jvm.isDefined() else None
     if not named:
-        named = "file://" + tempfile.mkdtemp(prefix="marlstone-")
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError(f"executors share no folder: set {CHECKPOINT_KEY}")
+        own = tempfile.mkdtemp(prefix="marlstone-")
+        atexit.register(shutil.rmtree, own, True)
+        named = "file://" + own
         spark.conf.set(CHECKPOINT_KEY, named)
     return named
 
 
+def _steps(spark: SparkSession) -> str:
+    """This application's part of the shared folder."""
+    return f"{shared_dir(spark)}/marlstone-{spark.sparkContext.applicationId}"
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def durable(df: DataFrame, name: str = "step") -> DataFrame:
     """Write df as a table in the shared folder and read it back.
 
     The later plan starts at files that outlive any executor, and a step used twice is computed once.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{_steps(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def clear(spark: SparkSession) -> None:
+    """Remove what this application has written with durable(); results not yet read are lost with it."""
+    _remove(spark, _steps(spark))
+
+
+def stage(spark: SparkSession, path: str, compute: Callable[[], DataFrame], redo: bool = False) -> DataFrame:
+    """A slow stage that a later attempt resumes from: computed and written at path once, read from there afterwards.
+
+    A stage counts as there when its write was committed; what a broken attempt left is written anew, as with redo.
+    """
+    if redo or not _exists(spark, f"{path}/_SUCCESS"):
+        compute().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
+def drop_stage(spark: SparkSession, path: str) -> None:
+    """To be called when the work that needed the stage has succeeded."""
+    _remove(spark, path)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import os
 import time
 import urllib.error
 import urllib.request
@@ -13,6 +14,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marlstone.functions.text import leaf_markdown
+from marlstone.operators.jobs import LEGACY
 from marlstone.operators.kb import TABLES
 
 POINTER = "current"
@@ -119,12 +122,53 @@ def fetch_json(url: str, attempts: int = 4, opener: Callable = urllib.request.ur
     return retry(call, attempts, lambda n: last["wait"] * n)
 
 
-def write_snapshot(kb: dict[str, DataFrame], path: str, version: str, codec: str = "zstd") -> None:
-    """All tables under path/version, then the pointer: readers see the old version or the new one, whole."""
+def write_snapshot(kb: dict[str, DataFrame], path: str, version: str, codec: str = "zstd", live: str | None = None) -> dict[str, int | str]:
+    """All tables under path/version, then the pointer: readers see the old version or the new one, whole.
+
+    Returns where it lies and its documents, chunks and bytes. live: the collection's own place, which is refused.
+    """
     spark = kb["docs"].sparkSession
+    if live is not None and _plain_path(path) == _plain_path(live):
+        raise ValueError("a snapshot must lie elsewhere than the collection")
     for name in TABLES:
         kb[name].write.mode("overwrite").option("compression", codec).parquet(f"{path}/{version}/{name}")
     spark.createDataFrame([(version,)], "version string").coalesce(1).write.mode("overwrite").json(f"{path}/{POINTER}")
+    place = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{version}")
+    size = place.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(place).getLength()
+    return {"dest": f"{path}/{version}", "bytes": size, **{t: spark.read.parquet(f"{path}/{version}/{t}").count() for t in ("docs", "chunks")}}
+
+
+def _plain_path(path: str) -> str:
+    return os.path.normpath(path.split("://", 1)[-1].removeprefix("file:"))
+
+
+def write_bundles(kb: dict[str, DataFrame], slugs: DataFrame, path: str, codec: str = "gzip") -> None:
+    """One bundle for each document of slugs that has chunks: path/<table>/slug=<slug>, all tables of the document.
+
+    Rows are brought together by document and a salt of the chunk, so a large document is written by several tasks.
+    """
+    chunks = kb["chunks"].withColumnRenamed("doc", "slug").join(slugs.select("slug").distinct(), "slug", "left_semi")
+    owner = chunks.select("slug", "chunk_id").distinct()
+    parts = {"docs": kb["docs"].join(owner.select("slug").distinct(), "slug", "left_semi"), "chunks": chunks, **{t: kb[t].join(owner, "chunk_id") for t in ("vec_chunks", "sparse_terms")}}
+    for name, rows in parts.items():
+        salt = F.pmod(F.xxhash64("chunk_id"), F.lit(16)) if "chunk_id" in rows.columns else F.lit(0)
+        rows.repartition("slug", salt).write.mode("overwrite").option("compression", codec).partitionBy("slug").parquet(f"{path}/{name}")
+
+
+def read_bundle(spark: SparkSession, path: str, slug: str) -> dict[str, DataFrame]:
+    """The tables of one document's bundle; only its own files are read."""
+    got = {t: spark.read.parquet(f"{path}/{t}").where(F.col("slug") == slug) for t in TABLES}
+    return {"docs": got["docs"], "chunks": got["chunks"].withColumnRenamed("slug", "doc"), **{t: got[t].drop("slug") for t in ("vec_chunks", "sparse_terms")}}
+
+
+def read_legacy_queue(spark: SparkSession, path: str) -> DataFrame:
+    """The entries of an old queue file (a JSON array), for jobs.legacy_jobs; a missing or broken file gives no rows."""
+    try:
+        rows = spark.read.schema(LEGACY).option("multiLine", "true").json(path)
+        rows.head(1)
+    except Exception:  # noqa: BLE001 - an old queue must not stop a new one
+        rows = spark.createDataFrame([], LEGACY)
+    return rows.where("id is not null")
 
 
 def read_snapshot(spark: SparkSession, path: str, version: str | None = None) -> dict[str, DataFrame]:
@@ -168,3 +212,10 @@ def block_leaves(trees: DataFrame, key: str = "doc", tree: str = "tree") -> Data
 
     kind = trees.schema[key].dataType.simpleString()
     return trees.select(key, tree).mapInPandas(run, f"{key} {kind}, page int, ordinal int, html string")
+
+
+def page_markdown(leaves: DataFrame, key: str = "doc") -> DataFrame:
+    """(doc, page, text): the leaves of a page as markdown, in order, with an empty line between; pages whose leaves are all empty have an empty text."""
+    rows = leaves.select(key, "page", "ordinal", leaf_markdown(F.col("html")).alias("_t"))
+    parts = F.sort_array(F.collect_list(F.when(F.col("_t") != "", F.struct("ordinal", "_t"))))
+    return rows.groupBy(key, "page").agg(F.array_join(F.transform(parts, lambda p: p["_t"]), "\n\n").alias("text"))

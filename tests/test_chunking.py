@@ -69,6 +69,15 @@ def test_markdown(spark):
     assert got == [("d", "", "intro"), ("d", "One", "a\nb"), ("d", "(section)", "c"), ("d", "Empty", "##### five"), ("e", "", "plain")]
 
 
+def test_markdown_by_pages_or_whole(spark):
+    df = spark.createDataFrame([("p", "zero\n<!-- page 7 -->\n# Not a heading\n<!-- page 9 -->\nlast"), ("q", "<!-- page 1 -->\n# H\nx"), ("w", "# only heading"), ("z", ""), ("n", None), ("r", "# A\r\nb")], "doc string, text string")
+    got = [(r.doc, r.heading, r.page, r.text) for r in ck.markdown_sections(df).orderBy("doc", "ordinal").collect()]
+    want = [("p", "Page 1", 1, "zero"), ("p", "Page 2", 2, "# Not a heading"), ("p", "Page 3", 3, "last"), ("q", "", 1, "<!-- page 1 -->"), ("q", "H", 1, "x")]
+    assert got == [*want, ("r", "", 1, "# A\r\nb"), ("w", "", 1, "# only heading"), ("z", "", 1, "")]
+    assert {r.doc: r.pages for r in ck.page_count(ck.markdown_sections(df)).collect()} == {"p": 3, "q": 1, "r": 1, "w": 1, "z": 1}
+
+
 def test_scanned(spark):
-    df = spark.createDataFrame([("a", 1, "x" * 50), ("a", 2, ""), ("b", 1, "x" * 40)], "doc string, page int, text string")
-    assert {r.doc: r.scanned for r in ck.scanned(df).collect()} == {"a": True, "b": False}
+    df = spark.createDataFrame([("a", "x" * 50), ("a", ""), ("b", "x" * 40), ("c", "x")], "doc string, text string")
+    pages = spark.createDataFrame([("a", 2), ("b", 1), ("c", 0), ("d", 3)], "doc string, pages int")
+    assert {r.doc: r.scanned for r in ck.scanned(df, pages).collect()} == {"a": True, "b": False, "c": False, "d": True}

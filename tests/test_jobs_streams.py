@@ -32,6 +32,30 @@ def test_leases(spark):
     assert got == {1: ("processing", 7), 2: ("queued", None)}
 
 
+def test_claim_and_heartbeat(spark):
+    now = F.lit(NOW + timedelta(hours=1))
+    rows = table(spark, [{"id": 2}, {"id": 1, "next_attempt_at": NOW + timedelta(1)}, {"id": 3}, {"id": 0, "status": "done"}])
+    once = jobs.claim(rows, now, 9)
+    assert {(r.id, r.status, r.owner) for r in once.collect()} == {(0, "done", None), (1, "queued", None), (2, "processing", 9), (3, "queued", None)}
+    assert {r.id for r in jobs.claim(once, now, 8).where("owner = 8").collect()} == {3}
+    assert jobs.first_due(rows.where("false"), now).count() == 0 and jobs.claim(rows.where("id < 2"), now, 9).where("owner is not null").count() == 0
+    assert {r.id for r in jobs.heartbeat(once, [2, 3], now).where(F.col("heartbeat") == now).collect()} == {2}
+
+
+def test_pull_triage(spark):
+    files = spark.createDataFrame([("a", "s1", "A", False), ("a", "s2", "B", None), ("a", "s3", "C", False), ("b", "s", "D", False), ("c", "s", "E", True), ("d", "s", "F", False), ("e", "s", "G", False)], "job_id string, stem string, slug string, pulled boolean")
+    states = spark.createDataFrame([("a", "done", None, None), ("b", "processing", "3 of 9", None), ("c", "done", None, None), ("e", "error", None, "boom")], "job_id string, status string, progress string, error string")
+    results = spark.createDataFrame([("a", "s1", "A.gz", None), ("a", "s2", None, "# text"), ("a", "s3", None, " ")], "job_id string, stem string, bundle string, markdown string")
+    known = spark.createDataFrame([("A",)], "slug string")
+    got = {(r.job_id, r.slug): (r.outcome, r.detail) for r in jobs.triage(files, states, results, known).collect()}
+    assert got == {("a", "A"): ("skipped", None), ("a", "B"): ("markdown", None), ("a", "C"): ("failed", "no OCR result for s3"), ("b", "D"): ("waiting", "3 of 9"), ("d", "F"): ("failed", "no answer"), ("e", "G"): ("failed", "boom")}
+    again = jobs.triage(files, states, results, known, replace=True)
+    assert again.where("slug = 'A'").first().outcome == "bundle"
+    after = jobs.after_pull(files, again)
+    assert {r.job_id for r in after.where("pulled").collect()} == {"a", "c"}
+    assert jobs.triage(after, states, results, known).where("job_id = 'a'").count() == 0
+
+
 def test_failures(spark):
     rows = [{"id": 1, "error": "HTTP 502", "attempts": 0}, {"id": 2, "error": "timed out", "attempts": 49}, {"id": 3, "error": "timed out", "attempts": 50}, {"id": 4, "error": "no such file"}]
     got = {r.id: (r.status, r.attempts, r.next_attempt_at) for r in jobs.after_failure(table(spark, rows), F.lit(NOW)).collect()}

@@ -1,10 +1,12 @@
 import json
+import os
 import urllib.error
 
 import pytest
 from pyspark.sql import functions as F
 
-from marlstone.operators import biblio
+from marlstone import session
+from marlstone.operators import biblio, jobs
 from marlstone.sources import connectors as cn
 
 
@@ -26,12 +28,15 @@ def kb(spark):
 
 def test_snapshots(spark, tmp_path):
     path = str(tmp_path / "s")
-    cn.write_snapshot(kb(spark), path, "v1")
+    told = cn.write_snapshot(kb(spark), path, "v1")
+    assert (told["docs"], told["chunks"]) == (1, 1) and told["bytes"] > 0 and told["dest"] == f"{path}/v1"
     assert cn.read_snapshot(spark, path)["chunks"].count() == 1
     two = kb(spark)
     two["chunks"] = two["chunks"].union(spark.createDataFrame([(2, "A")], "chunk_id bigint, doc string"))
     cn.write_snapshot(two, path, "v2", codec="gzip")
     assert cn.read_snapshot(spark, path)["chunks"].count() == 2 and cn.read_snapshot(spark, path, "v1")["chunks"].count() == 1
+    with pytest.raises(ValueError, match="elsewhere"):
+        cn.write_snapshot(two, f"file://{path}/", "v3", live=path)
     import shutil
 
     shutil.rmtree(f"{path}/v2/vec_chunks")
@@ -39,6 +44,63 @@ def test_snapshots(spark, tmp_path):
         cn.read_snapshot(spark, path)
 
 
+def test_bundles(spark, tmp_path):
+    whole = kb(spark)
+    whole["docs"] = whole["docs"].union(spark.createDataFrame([("B", "t"), ("C", "u")], "slug string, source string"))
+    whole["chunks"] = whole["chunks"].union(spark.createDataFrame([(2, "B"), (3, "C")], "chunk_id bigint, doc string"))
+    cn.write_bundles(whole, spark.createDataFrame([("A",), ("B",), ("none",)], "slug string"), str(tmp_path / "b"))
+    a = cn.read_bundle(spark, str(tmp_path / "b"), "A")
+    assert [r.source for r in a["docs"].collect()] == ["s"] and [(r.chunk_id, r.doc) for r in a["chunks"].collect()] == [(1, "A")]
+    assert a["vec_chunks"].count() == 1 and cn.read_bundle(spark, str(tmp_path / "b"), "B")["sparse_terms"].count() == 0
+    assert cn.read_bundle(spark, str(tmp_path / "b"), "C")["chunks"].count() == 0
+
+
+def test_old_queue_file(spark, tmp_path):
+    (tmp_path / "q.json").write_text(json.dumps([{"id": 1, "status": "processing", "queuedAt": 1000}, {"id": 2, "status": "error", "error": "HTTP 503"}, {"id": 3, "status": "error", "error": "no such file", "name": ""}]))
+    got = {r.id: (r.label, r.name, r.status, r.progress, r.attempts) for r in jobs.legacy_jobs(cn.read_legacy_queue(spark, str(tmp_path / "q.json")), F.current_timestamp()).collect()}
+    assert got == {1: ("job", None, "queued", "queued (migrated)", 0), 2: ("job", None, "queued", "queued (migrated)", 0), 3: ("job", None, "error", "", 0)}
+    assert cn.read_legacy_queue(spark, str(tmp_path / "none.json")).count() == 0
+
+
+def test_stages_resume(spark, tmp_path):
+    calls = []
+
+    def slow():
+        calls.append(1)
+        return spark.createDataFrame([(len(calls),)], "n int")
+
+    path = str(tmp_path / "stage")
+    assert [session.stage(spark, path, slow).first().n for _ in range(2)] == [1, 1] and len(calls) == 1
+    assert session.stage(spark, path, slow, redo=True).first().n == 2
+    (tmp_path / "stage" / "_SUCCESS").unlink()  # a broken attempt is no result
+    assert session.stage(spark, path, slow).first().n == 3
+    session.drop_stage(spark, path)
+    assert session.stage(spark, path, slow).first().n == 4
+
+
+def test_steps_are_shared_and_cleared(spark, monkeypatch):
+    rows = session.durable(spark.range(3).toDF("id"), "rows")
+    assert rows.count() == 3
+    place = rows.inputFiles()[0].removeprefix("file:").replace("///", "/").rsplit("/", 2)[0]
+    session.clear(spark)
+    assert not os.path.exists(place)
+
+    class Remote:
+        class conf:
+            get = staticmethod(lambda *a: None)
+
+        class sparkContext:
+            master = "spark://host:7077"
+
+            class _jsc:
+                sc = staticmethod(lambda: type("S", (), {"getCheckpointDir": staticmethod(lambda: type("N", (), {"isDefined": staticmethod(lambda: False)}))}))
+
+            getConf = staticmethod(dict)
+
+    with pytest.raises(RuntimeError, match="share no folder"):
+        session.shared_dir(Remote)
+
+
 def test_extractor_and_encoder(spark, tmp_path):
     (tmp_path / "a.txt").write_text("one\ftwo")
     (tmp_path / "b.txt").write_text("bad")
@@ -70,6 +132,8 @@ def test_extractor_and_encoder(spark, tmp_path):
 def test_block_trees(spark):
     tree = {"id": "/page/1/Doc/0", "children": [{"id": "/page/1/Text/1", "html": "<p>b</p>"}, {"id": "/page/0/Group/2", "html": "<content-ref src='x'></content-ref>", "children": [{"id": "none", "html": "<b>a</b>"}]}]}
     df = spark.createDataFrame([("d", json.dumps(tree)), ("e", None)], "doc string, tree string")
+    pages = {(r.doc, r.page): r.text for r in cn.page_markdown(cn.block_leaves(df)).collect()}
+    assert pages == {("d", 1): "**a**", ("d", 2): "b"}
     assert [(r.page, r.ordinal, r.html) for r in cn.block_leaves(df).orderBy("ordinal").collect()] == [(2, 0, "<p>b</p>"), (1, 1, "<b>a</b>")]
 
 

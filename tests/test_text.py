@@ -57,7 +57,10 @@ def test_identifiers(spark):
     assert t(spark, tx.to_doi, "DOI: 10.1000/xyz") == "10.1000/xyz"
     assert t(spark, tx.to_doi, "https://doi.org/10.1000/xyz") == "10.1000/xyz"
     assert t(spark, tx.to_doi, "arXiv: 2004.14974") == "10.48550/arXiv.2004.14974"
-    assert t(spark, tx.to_doi, "paper.pdf") is None
+    assert t(spark, tx.to_doi, "paper.pdf") is None and t(spark, tx.to_doi, "arXiv:foo") is None
+    assert t(spark, tx.to_doi, "DOI: https://doi.org/10.1234/ab") == "10.1234/ab"
+    assert t(spark, tx.to_doi, "ARXIV:2004.14974v2") == "10.48550/arXiv.2004.14974v2"
+    assert [t(spark, tx.source_slug, s) for s in ("http://x/a b.pdf", "http://x/", "2004.14974", "/srv/My paper.PDF", "doi:10.1000/xy")] == ["a-b", "document", "2004-14974", "My-paper", "doi-10-1000-xy"]
     assert [t(spark, tx.source_kind, s) for s in ("http://x/y.pdf", "2004.14974", "10.1/x", "10.1000/x", "a/b.pdf")] == ["url", "arxiv", "file", "doi", "file"]
     assert t(spark, tx.base_name, "/srv/a b.PDF") == "a b"
     assert t(spark, tx.safe_stem, "a b(1).pdf") == "a_b_1_"
@@ -69,6 +72,10 @@ def test_slug_and_hash(spark):
         h = (h * 33 + ord(c)) % 2**32
     assert t(spark, tx.simple_hash, "héllo") == str(h)
     assert t(spark, tx.simple_hash, "") == "5381"
+    h = 5381
+    for c in (0x61, 0xD83D, 0xDE00):  # beyond the basic plane a sign has two units
+        h = (h * 33 + c) % 2**32
+    assert t(spark, tx.simple_hash, "a\U0001f600") == str(h)
     assert t(spark, tx.slugify, "--A b!c--") == "A-b-c" and t(spark, tx.slugify, "!!") == "paper"
     long = t(spark, tx.slugify, "x" * 70)
     assert len(long) == 60 and long.startswith("x" * 51 + "-")
@@ -76,6 +83,10 @@ def test_slug_and_hash(spark):
 
 def test_markup(spark):
     assert t(spark, tx.strip_xml, "<p>a &lt; b</p>\n<i>c</i>") == "a < b c"
+    assert t(spark, tx.strip_xml, "x &amp;quot; y &apos;z&apos;&nbsp;<>") == "x \" y 'z'&nbsp;<>"
+    assert t(spark, tx.strip_xml, "a\u00a0\u2003b") == "a b" and t(spark, tx.strip_xml, None) is None
+    assert t(spark, tx.leaf_markdown, "&eacute;&hellip;&#x41; <b>open") == "é…A open"
+    assert t(spark, tx.leaf_markdown, "<b class='x'>p</b><span>q</span>") == "pq"
     assert t(spark, tx.leaf_markdown, "<p><b>x</b> <i>y</i><br/>z &amp; w</p>") == "**x** *y*\nz & w"
     assert t(spark, tx.leaf_markdown, "<tr><td>a</td><td>b</td></tr>") == "a | b |"
     assert t(spark, tx.leaf_markdown, '<math display="block"> x^2 </math>') == "$$\nx^2\n$$"
@@ -90,12 +101,19 @@ def test_page_markers(spark, mark):
 
 def test_marked_pages(spark):
     got = t(spark, tx.marked_pages, "zero <!-- page 3 --> three <!-- page 4 -->  <!-- page 9 -->nine")
-    assert [(p.page, p.text) for p in got] == [(1, "zero"), (3, "three"), (9, "nine")]
+    assert [(p.page, p.text) for p in got] == [(3, "three"), (9, "nine")]
+    assert [(p.page, p.text) for p in t(spark, tx.marked_pages, " no marker ")] == [(1, "no marker")]
+    assert [(p.page, p.text) for p in t(spark, tx.marked_pages, "")] == [(1, "")]
+    assert t(spark, tx.guessed_pages, "<!-- page 3 --> as shown on page 412") == 3
+    assert t(spark, tx.guessed_pages, "## Page 7\n===== page 9 =====\n\f") == 9 and t(spark, tx.guessed_pages, "----- page 0 -----") == 1
     assert t(spark, tx.guessed_pages, "<!-- page 3 --> <!-- page 12 -->") == 12 and t(spark, tx.guessed_pages, "none") == 1
 
 
 def test_small_things(spark):
     assert t(spark, tx.chunk_title, "\n<!-- page 1 -->\n## Title here\nrest") == "Title here"
+    assert t(spark, tx.chunk_title, "see ----- page 3 ----- of it") == "see ----- page 3 ----- of it" and t(spark, tx.chunk_title, " \n<!-- page 2 -->") == ""
+    assert one(spark, tx.page_set(F.col("s"), F.col("n")), s="3rd, 5abc, 2, -4, 99999999999, x", n=8) == [2, 3, 5]
+    assert one(spark, tx.page_set(F.col("s"), F.col("n")), s="9999999999-6", n=8) == [6, 7, 8] and one(spark, tx.page_set(F.col("s"), F.col("n")), s="1", n=0) == []
     assert one(spark, tx.page_set(F.col("s"), F.col("n")), s="5-1,7,99", n=8) == [1, 2, 3, 4, 5, 7]
     assert one(spark, tx.page_set(F.col("s"), F.col("n")), s="all", n=3) == [1, 2, 3]
     assert t(spark, tx.csv_list, " a, ,b ") == ["a", "b"] and t(spark, tx.csv_list, None) == []
