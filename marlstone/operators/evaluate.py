@@ -32,13 +32,21 @@ def ablation(runs: dict[str, DataFrame], qrels: DataFrame, k: int = 10, deep: in
     return out
 
 
-def full_ranking(scored: DataFrame, queries: DataFrame, chunk_ids: DataFrame, depth: int) -> DataFrame:
+def full_ranking(scored: DataFrame, queries: DataFrame, ids: DataFrame, depth: int, known: DataFrame | None = None) -> DataFrame:
     """The first `depth` of every query's ranking of all chunks, those without a score counting 0.
 
-    Only the `depth` smallest ids can be reached without a score, so just these are paired with the queries.
+    scored: the `depth` best of each query. known: the ids that a leg scores for every query it has anything for, also
+    below 0; they don't count 0 there. Only the smallest ids without a score can be reached, so just they are paired with queries.
     """
-    few = chunk_ids.select("chunk_id").distinct().orderBy("chunk_id").limit(2 * depth)
-    unscored = queries.select("query_id").crossJoin(F.broadcast(few)).join(scored, ["query_id", "chunk_id"], "left_anti").withColumn("score", F.lit(0.0))
-    every = scored.select("query_id", "chunk_id", "score").unionByName(unscored)
+    smallest = lambda rows: F.broadcast(rows.select("chunk_id").distinct().orderBy("chunk_id").limit(2 * depth))  # noqa: E731 - 2 * depth rows
+    asked = queries.select("query_id")
+    if known is None:
+        added = asked.crossJoin(smallest(ids))
+    else:
+        met = scored.select("query_id").distinct()
+        added = asked.join(met, "query_id", "left_semi").crossJoin(smallest(ids.join(known.select("chunk_id").distinct(), "chunk_id", "left_anti")))
+        added = added.unionByName(asked.join(met, "query_id", "left_anti").crossJoin(smallest(ids)))
+    added = added.join(scored, ["query_id", "chunk_id"], "left_anti").withColumn("score", F.lit(0.0))
+    every = scored.select("query_id", "chunk_id", "score").unionByName(added)
     w = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "chunk_id")
     return every.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= depth)

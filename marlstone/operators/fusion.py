@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marlstone.operators.lexical import SCALE
+from marlstone.session import durable
 
 RRF, LAMBDA = 60, 0.7
 
@@ -48,7 +49,10 @@ def mmr(fused: DataFrame, vectors: DataFrame, k: int, pool: int | None = None, w
     A query's pool is at most max(2k, 20) rows, so a group is bounded.
     """
     pool = pool or max(2 * k, 20)
-    rows = min_max(fused.where(F.col("rank") <= pool)).join(vectors.select("chunk_id", "embedding"), "chunk_id", "left")
+    best = durable(min_max(fused.where(F.col("rank") <= pool)), "pool")
+    # the pool's few ids are the side that Spark may send to the vectors; only what meets them is brought together
+    met = vectors.select("chunk_id", "embedding").join(best.select("chunk_id").distinct(), "chunk_id", "left_semi")
+    rows = best.join(met, "chunk_id", "left")
     schema = fused.select("query_id", "chunk_id", "score", F.lit(0).alias("position")).schema
 
     def order(group: pd.DataFrame) -> pd.DataFrame:

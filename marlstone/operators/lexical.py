@@ -15,19 +15,16 @@ from marlstone.session import durable
 K1, B, SCALE = 1.2, 0.75, 9
 
 
-def tokenised(chunks: DataFrame, split=tokens, text: str = "text") -> DataFrame:
-    """(chunk_id, tokens), written to the shared folder: the text is split once, for postings and lengths alike."""
-    return durable(chunks.select("chunk_id", split(F.col(text)).alias("tokens")), "tokens")
-
-
 class Index:
-    """Postings and statistics of a collection, written once and used by every batch of queries."""
+    """Postings and statistics of a collection, written once and used by every batch of queries.
+
+    The postings carry the lengths, so the texts are split once and no second copy of the tokens is written.
+    """
 
     def __init__(self, chunks: DataFrame, split=tokens, text: str = "text"):
         self.split = split
-        parts = tokenised(chunks, split, text)
-        self.stats = statistics(parts.select("chunk_id", F.size("tokens").alias("len")))
-        self.postings = durable(postings(parts, lambda t: t, "tokens"), "postings")
+        self.postings = durable(postings(chunks, split, text), "postings")
+        self.stats = posting_statistics(self.postings, chunks)
 
     def search(self, queries: DataFrame, k: int, allowed: DataFrame | None = None, k1: float = K1, b: float = B) -> DataFrame:
         return bm25(self.postings, self.stats, queries, k, allowed, k1, b, self.split)
@@ -49,6 +46,13 @@ def statistics(doc_lengths: DataFrame) -> DataFrame:
     return doc_lengths.agg(F.count(F.lit(1)).alias("n"), total.alias("total_len"), F.coalesce(F.nullif(F.avg("len"), F.lit(0.0)), F.lit(1.0)).alias("avg_len"))
 
 
+def posting_statistics(posted: DataFrame, chunks: DataFrame) -> DataFrame:
+    """As statistics(), from the postings: the lengths are the sums of tf; chunks without tokens count, too."""
+    total = posted.agg(F.coalesce(F.sum("tf"), F.lit(0)).cast("bigint").alias("total_len"))
+    n = chunks.agg(F.count(F.lit(1)).alias("n"))
+    return n.crossJoin(F.broadcast(total)).select("n", "total_len", F.when((F.col("n") > 0) & (F.col("total_len") > 0), F.col("total_len") / F.col("n")).otherwise(1.0).alias("avg_len"))
+
+
 def document_frequency(posted: DataFrame) -> DataFrame:
     return posted.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 

@@ -44,6 +44,7 @@ class Collection:
     vectors: DataFrame
     terms: DataFrame
     dim: int = 64
+    model: str = "encoder"
     index: lexical.Index | None = None
 
     def lexical(self) -> lexical.Index:
@@ -80,7 +81,7 @@ def hybrid(c: Collection, queries: DataFrame, query_terms: DataFrame, k: int = 1
 
 
 def envelope(c: Collection, queries: DataFrame, query_terms: DataFrame, k: int = 10, keyword: bool = True) -> DataFrame:
-    """One row per query: total chunks, whether it has a vector, strength (best cosine or 0), message or null."""
+    """One row per query: total chunks, model (empty for an empty collection) and dim, whether it has a vector, strength (best cosine or 0), message or null."""
     best = dense.dense_top_k(c.vectors, queries, 1, c.dim).select("query_id", "score")
     has_terms = query_terms.groupBy("query_id").agg(F.lit(True).alias("_terms"))
     total = c.chunks.agg(F.count(F.lit(1)).alias("total"))
@@ -88,10 +89,11 @@ def envelope(c: Collection, queries: DataFrame, query_terms: DataFrame, k: int =
     message = (
         F.when(F.col("total") == 0, EMPTY)
         .when(~dense_ok & F.col("_terms").isNull() & F.lit(not keyword), NOTHING)
-        .when(~dense_ok, NO_ENCODER)
+        .when(~dense_ok & F.lit(keyword), NO_ENCODER)
     )
     rows = queries.join(best, "query_id", "left").join(has_terms, "query_id", "left").crossJoin(F.broadcast(total))
-    return rows.select("query_id", "total", dense_ok.alias("dense"), F.round(F.coalesce("score", F.lit(0.0)), 4).alias("strength"), message.alias("message"))
+    model = F.when(F.col("total") == 0, "").otherwise(c.model)
+    return rows.select("query_id", "total", model.alias("model"), F.lit(c.dim).alias("dim"), dense_ok.alias("dense"), F.round(F.coalesce("score", F.lit(0.0)), 4).alias("strength"), message.alias("message"))
 
 
 def page_text(chunks: DataFrame) -> DataFrame:

@@ -74,8 +74,14 @@ def collection(spark: SparkSession, d: str) -> search.Collection:
 
 
 _CH = "ch as (select distinct on (chunk_id) chunk_id, doc, page, section, text from chunks)"
-_STOP = ", ".join(f"'{w}'" for w in tk.STOP_WORDS)
-# the same patterns for an engine without look-around, whose word boundary is ASCII
+# fixed values, written out for the oracle: the words that are left out, and the patterns for an engine without look-around, whose word boundary is ASCII
+_STOP = ", ".join(
+    f"'{w}'"
+    for w in (
+        "a about also an and are as at be been being between but by can could during for from he her him i if in into is it its may not of on or over she should so than that the them then these they this those "
+        "through to under using via was we were will with would you"
+    ).split()
+)
 _RAW = (
     r"""(?i)\b(?:10\.\d{4,9}/[^\s,;)\]"'']+|arXiv:\d{4}\.\d{4,5}(?:v\d+)?)""",
     r"""\b[a-zA-Z][a-zA-Z0-9_]*(?:[+*/=<>!&%#@:|][+*/=<>!&%#@:|A-Za-z0-9_.]*)+\b""",
@@ -111,9 +117,9 @@ def _index(tokens: str) -> str:
     df as (select term, count(*) as df from tf group by term)"""
 
 
-def _bm25(tokens: Callable[[str], str], k1: float, b: float, k: int) -> str:
+def _bm25(tokens: Callable[[str], str], k1: float, b: float, k: int, asked: str = "select item_id as query_id, text from eval_items") -> str:
     return f"""with {_index(tokens('text'))},
-    q as (select distinct item_id as query_id, unnest({tokens('text')}) as term from eval_items),
+    q as (select distinct query_id, unnest({tokens('text')}) as term from ({asked})),
     s as (select query_id, chunk_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * ({k1} + 1) / (tf + {k1} * (1 - {b} + {b} * len / avg_len))) as score
           from q join tf using (term) join df using (term) join ln using (chunk_id), st group by all),
     r as (select *, row_number() over (partition by query_id order by round(score, 9) desc, chunk_id) as rank from s)
@@ -137,9 +143,9 @@ def fn_raw_tokens(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", tk.raw_tokens(F.col("text")).alias("tokens"))
 
 
-@register(f"with {_CH} select chunk_id, len({_tokens('text')}) as n_tokens from ch")
+@register(f"with {_CH} select chunk_id, len({_tokens('text')}) as n_tokens, {_tokens('text')} as tokens from ch")
 def fn_tokenize(spark: SparkSession, d: str) -> DataFrame:
-    return lexical.lengths(chunks_of(spark, d)).withColumnRenamed("len", "n_tokens")
+    return chunks_of(spark, d).select("chunk_id", tk.tokens(F.col("text")).alias("tokens")).select("chunk_id", F.size("tokens").alias("n_tokens"), "tokens")
 
 
 @register(f"with {_index(_tokens('text'))} select term, chunk_id, cast(tf as integer) as tf, cast(len as integer) as len from tf join ln using (chunk_id)")
@@ -255,41 +261,94 @@ def fn_l2norm(spark: SparkSession, d: str) -> DataFrame:
 
 # --- fusion and search -------------------------------------------------------------------------------
 
-_LEGS = f"""dl as (select * from ({_dense_sql(4 * K)})), sl as (select * from ({_sparse_sql("select query_id, term, qw from q3 where before < 150000", 4 * K)})),
-    l as (select query_id, chunk_id, rank - 1 as r, 0 as leg from dl union all select query_id, chunk_id, rank - 1, 1 from sl),
+# chunks are the queries; a leg that a query has nothing for has no rows
+_ASKED_CHUNKS = f"select chunk_id as query_id, text from (select distinct on (chunk_id) chunk_id, text from chunks) where chunk_id % {EVERY} = 0"
+
+
+def _legs_sql(legs: list[str]) -> str:
+    """CTEs: f and fr, the fusion of the legs given as (query_id, chunk_id, rank)."""
+    every = " union all ".join(f"select query_id, chunk_id, rank - 1 as r, {i} as leg from ({leg})" for i, leg in enumerate(legs))
+    return f"""l as ({every}),
     f as (select query_id, chunk_id, sum(1.0::double / (r + 60)) as score, min(leg * 1000000 + r) as first from l group by all),
     fr as (select *, row_number() over (partition by query_id order by round(score, 9) desc, first, chunk_id) as rank from f)"""
 
 
-def _two_legs(spark: SparkSession, d: str) -> list[DataFrame]:
-    return [
-        dense.dense_top_k(vectors_of(spark, d), asked_vectors(spark, d), 4 * K, DIM),
-        sparse.sparse_top_k(terms_of(spark, d), asked_terms(spark, d), chunks_of(spark, d).count(), 4 * K),
-    ]
+def _three_sql(k: int) -> list[str]:
+    return [_dense_sql(k), _bm25(_tokens, 1.2, 0.75, k, _ASKED_CHUNKS), _sparse_sql("select query_id, term, qw from q3 where before < 150000", k)]
+
+
+_LEGS = _legs_sql(_three_sql(4 * K))
+
+
+def _mmr_sql(k: int, pool: int, weight: float = 0.7) -> str:
+    """CTEs after fr: p, the pool with relevance and vectors; x, the similarities in it; m, the picks, one step of recursion each."""
+    return f"""pv as (select distinct on (chunk_id) chunk_id, cast(embedding as double[]) as e from vec_chunks where len(embedding) = {DIM} and len(list_filter(embedding, lambda z: z is null or isnan(z))) = 0
+      and len(list_filter(embedding, lambda z: z <> 0)) > 0 and chunk_id in (select chunk_id from chunks)),
+    b as (select query_id, min(score) as lo, max(score) as hi from fr where rank <= {pool} group by 1),
+    p as (select query_id, chunk_id, rank, score, case when hi > lo then (score - lo) / (hi - lo) else 1 end as rel, e from fr join b using (query_id) left join pv using (chunk_id) where rank <= {pool}),
+    x as (select i.query_id, i.rank as i, j.rank as j, list_cosine_similarity(i.e, j.e) as s from p i join p j using (query_id) where i.e is not null and j.e is not null),
+    m as (select query_id, 0 as position, []::bigint[] as chosen from b
+      union all
+      select query_id, position + 1, list_append(chosen, rank) from (
+        select *, row_number() over (partition by query_id order by round({weight} * rel - (1 - {weight}) * near, 12) desc, rank) as r from (
+          select m.query_id, m.position, m.chosen, p.rank, p.rel, coalesce(greatest(max(x.s), 0), 0) as near
+          from m join p on p.query_id = m.query_id and not list_contains(m.chosen, p.rank)
+          left join x on x.query_id = m.query_id and x.i = p.rank and list_contains(m.chosen, x.j)
+          where m.position < {k} group by all)) where r = 1),
+    picked as (select m.query_id, m.position::int as position, p.chunk_id, p.score from m join p on p.query_id = m.query_id and p.rank = m.chosen[-1] where m.position > 0)"""
+
+
+def _hybrid_sql(legs: list[str], k: int) -> str:
+    return f"""with recursive {_legs_sql(legs)}, {_mmr_sql(k, max(2 * k, 20))}
+    select query_id, position, chunk_id, doc, page, section, round(score, 4) as score, substr(text, 1, 400) as snippet from picked join (select distinct on (chunk_id) * from chunks) using (chunk_id)"""
+
+
+def _legs(spark: SparkSession, d: str) -> list[DataFrame]:
+    return search.legs(collection(spark, d), asked_chunks(spark, d), asked_terms(spark, d), K)
 
 
 @register(f"with {_LEGS} select query_id, chunk_id, round(score, 6) as score, cast(rank as integer) as rank from fr")
 def ret_rrf(spark: SparkSession, d: str) -> DataFrame:
-    return _ranked(fusion.rrf(_two_legs(spark, d)))
+    return _ranked(fusion.rrf(_legs(spark, d)))
 
 
 @register(f"""with {_LEGS}, p as (select * from fr where rank <= 20), m as (select query_id, min(score) as lo, max(score) as hi from p group by 1)
     select query_id, chunk_id, round(case when hi > lo then (score - lo) / (hi - lo) else 1 end, 6) as rel from p join m using (query_id)""")
 def win_minmax(spark: SparkSession, d: str) -> DataFrame:
-    return fusion.min_max(fusion.rrf(_two_legs(spark, d)).where("rank <= 20")).select("query_id", "chunk_id", F.round("rel", 6).alias("rel"))
+    return fusion.min_max(fusion.rrf(_legs(spark, d)).where("rank <= 20")).select("query_id", "chunk_id", F.round("rel", 6).alias("rel"))
 
 
-@register()
+@register(f"with recursive {_LEGS}, {_mmr_sql(K, 20)} select query_id, chunk_id, round(score, 6) as score, position from picked")
 def ret_mmr(spark: SparkSession, d: str) -> DataFrame:
-    return fusion.mmr(fusion.rrf(_two_legs(spark, d)), vectors_of(spark, d), K)
+    return fusion.mmr(fusion.rrf(_legs(spark, d)), vectors_of(spark, d), K).withColumn("score", F.round("score", 6))
 
 
-@register()
+@register(_hybrid_sql(_three_sql(4 * K), K))
 def ret_hybrid(spark: SparkSession, d: str) -> DataFrame:
     return search.hybrid(collection(spark, d), asked_chunks(spark, d), asked_terms(spark, d), K)
 
 
-@register()
+@register(_hybrid_sql([_dense_sql(4 * K), _three_sql(4 * K)[2]], K))
+def ret_hybrid_dense(spark: SparkSession, d: str) -> DataFrame:
+    """Without key words."""
+    return search.hybrid(collection(spark, d), asked_chunks(spark, d), asked_terms(spark, d), K, keyword=False)
+
+
+_IN_DOCS = "select slug from docs where slug like '%-survey-%'"
+
+
+@register(_hybrid_sql([f"select * from ({q}) where true" for q in (
+    _dense_sql(4 * K, f"chunk_id in (select chunk_id from chunks where page <= 9 and doc in ({_IN_DOCS}))"),
+    _bm25(_tokens, 1.2, 0.75, 4 * K, _ASKED_CHUNKS).replace("from q join tf", f"from q join (select * from tf where chunk_id in (select chunk_id from chunks where page <= 9 and doc in ({_IN_DOCS}))) tf"),
+    _sparse_sql("select query_id, term, qw from q3 where before < 150000", 4 * K).replace("a join tm using", f"a join (select * from tm where chunk_id in (select chunk_id from chunks where page <= 9 and doc in ({_IN_DOCS}))) tm using"),
+)], K))
+def ret_hybrid_filtered(spark: SparkSession, d: str) -> DataFrame:
+    """Within a list of documents and of pages."""
+    docs = [r.slug for r in table(spark, d, "docs").where("slug like '%-survey-%'").select("slug").distinct().collect()]
+    return search.hybrid(collection(spark, d), asked_chunks(spark, d), asked_terms(spark, d), K, search.Filter(docs=docs, page_to=9))
+
+
+@register(_hybrid_sql([_bm25(_tokens, 1.2, 0.75, 4 * K)], K))
 def ret_degrade(spark: SparkSession, d: str) -> DataFrame:
     """No query vectors and no weights: key words only."""
     queries = asked_texts(spark, d).withColumn("embedding", F.lit(None).cast("array<float>"))
@@ -297,12 +356,21 @@ def ret_degrade(spark: SparkSession, d: str) -> DataFrame:
     return search.hybrid(collection(spark, d), queries, none, K)
 
 
+@register(f"""select item_id as query_id, n as total, false as dense, 0.0::double as strength, case when keyword then '{search.NO_ENCODER}' else '{search.NOTHING}' end as message, keyword
+    from eval_items, (select count(distinct chunk_id) as n from chunks), (select unnest([true, false]) as keyword)""")
+def ret_degrade_message(spark: SparkSession, d: str) -> DataFrame:
+    """What is said where the encoder gives nothing, with key words and without."""
+    queries, none = asked_texts(spark, d).withColumn("embedding", F.lit(None).cast("array<float>")), asked_terms(spark, d).where("false")
+    parts = [search.envelope(collection(spark, d), queries, none, K, keyword).select("query_id", "total", "dense", "strength", "message", F.lit(keyword).alias("keyword")) for keyword in (True, False)]
+    return parts[0].unionByName(parts[1])
+
+
 @register(f"""with {_VEC}, b as (select query_id, max(list_cosine_similarity(qe, e)) as s from qv, v group by 1)
     select c.chunk_id as query_id, (select count(distinct chunk_id) from chunks) as total, b.s is not null as dense, round(coalesce(b.s, 0), 4) as strength,
       case when b.s is null then '{search.NO_ENCODER}' end as message
     from (select distinct chunk_id from chunks where chunk_id % {EVERY} = 0) c left join b on b.query_id = c.chunk_id""")
 def ret_envelope(spark: SparkSession, d: str) -> DataFrame:
-    return search.envelope(collection(spark, d), asked_chunks(spark, d), asked_terms(spark, d))
+    return search.envelope(collection(spark, d), asked_chunks(spark, d), asked_terms(spark, d)).select("query_id", "total", "dense", "strength", "message")
 
 
 @register(f"with {_CH} select doc, page, count(*) as chunks, arg_min(section, chunk_id) as section, trim(string_agg(text, chr(10) || chr(10) order by chunk_id), {_BLANKS}) as text from ch group by doc, page")
@@ -321,20 +389,25 @@ def agg_page_section(spark: SparkSession, d: str) -> DataFrame:
 
 
 def judged(spark: SparkSession, d: str) -> DataFrame:
-    """A query chunk is 2 relevant to itself, the other chunks of its document 1."""
-    c = chunks_of(spark, d).select("chunk_id", "doc")
-    q = c.where(F.col("chunk_id") % EVERY == 0).join(asked_vectors(spark, d).select(F.col("query_id").alias("chunk_id")), "chunk_id", "left_semi").select(F.col("chunk_id").alias("query_id"), "doc")
-    return q.join(c, "doc").select("query_id", "chunk_id", F.when(F.col("query_id") == F.col("chunk_id"), 2).otherwise(1).alias("rel"))
+    """A query chunk is 2 relevant to itself, the other chunks of its page 1: known items, as many as a page has chunks."""
+    c = chunks_of(spark, d).select("chunk_id", "doc", "page")
+    q = c.where(F.col("chunk_id") % EVERY == 0).join(asked_vectors(spark, d).select(F.col("query_id").alias("chunk_id")), "chunk_id", "left_semi").select(F.col("chunk_id").alias("query_id"), "doc", "page")
+    return q.join(c, ["doc", "page"]).select("query_id", "chunk_id", F.when(F.col("query_id") == F.col("chunk_id"), 2).otherwise(1).alias("rel"))
 
 
-_QREL = f"""{_CH}, qr as (select q.chunk_id as query_id, c.chunk_id, case when q.chunk_id = c.chunk_id then 2 else 1 end as rel from ch q join ch c using (doc)
+_QREL = f"""{_CH}, qr as (select q.chunk_id as query_id, c.chunk_id, case when q.chunk_id = c.chunk_id then 2 else 1 end as rel from ch q join ch c using (doc, page)
     where q.chunk_id % {EVERY} = 0 and q.chunk_id in (select query_id from qv))"""
-_METRICS = f"""nd as (select i.query_id, coalesce(g.dcg, 0) / i.idcg as ndcg from (
+
+
+def _metrics(run: str) -> str:
+    return f"""nd as (select i.query_id, coalesce(g.dcg, 0) / i.idcg as ndcg from (
       select query_id, sum(rel / log2(r + 1)) as idcg from (select *, row_number() over (partition by query_id order by rel desc, chunk_id) as r from qr) where r <= 10 group by 1) i
-      left join (select query_id, sum(rel / log2(rank + 1)) as dcg from dl join qr using (query_id, chunk_id) where rank <= 10 group by 1) g using (query_id)),
+      left join (select query_id, sum(rel / log2(rank + 1)) as dcg from {run} join qr using (query_id, chunk_id) where rank <= 10 group by 1) g using (query_id)),
     rc as (select query_id, coalesce(n, 0) / m as recall from (select query_id, count(*) as m from qr group by 1) a
-      left join (select query_id, count(*) as n from dl join qr using (query_id, chunk_id) where rank <= 100 group by 1) b using (query_id))"""
-_EVAL = f"with {_VEC}, dl as ({_dense_sql(100)}), {_QREL}, {_METRICS}"
+      left join (select query_id, count(*) as n from {run} join qr using (query_id, chunk_id) where rank <= 100 group by 1) b using (query_id))"""
+
+
+_EVAL = f"with {_VEC}, dl as ({_dense_sql(100)}), {_QREL}, {_metrics('dl')}"
 
 
 def _dense_run(spark: SparkSession, d: str, k: int = 100) -> DataFrame:
@@ -365,21 +438,45 @@ def full_rankings(spark: SparkSession, d: str, depth: int = 200) -> dict[str, Da
 
 def _fused(spark: SparkSession, d: str, runs: dict[str, DataFrame], names: tuple[str, ...], depth: int = 200) -> DataFrame:
     """Fusion of full rankings, to a depth of 200, unscored chunks included."""
-    ids, queries = table(spark, d, "chunks").select("chunk_id"), asked_chunks(spark, d)
-    return fusion.rrf([evaluate.full_ranking(runs[n], queries, ids, depth) for n in names])
+    ids, queries = table(spark, d, "chunks").select("chunk_id").distinct(), asked_chunks(spark, d)
+    known = {"dense": vectors_of(spark, d)}  # cosines can lie below 0
+    return fusion.rrf([evaluate.full_ranking(runs[n], queries, ids, depth, known.get(n)) for n in names])
+
+
+def _full_sql(run: str, depth: int = 200) -> str:
+    """The first of every query's ranking of all chunks, by a run that scores those it has anything for."""
+    return f"""select query_id, chunk_id, rank from (select q.query_id, c.chunk_id, row_number() over (partition by q.query_id order by round(coalesce(s.score, 0), 9) desc, c.chunk_id) as rank
+      from (select distinct chunk_id as query_id from chunks where chunk_id % {EVERY} = 0) q cross join (select distinct chunk_id from chunks) c left join ({run}) s on s.query_id = q.query_id and s.chunk_id = c.chunk_id) where rank <= {depth}"""
+
 
+_RUNS = {
+    "dense": f"with {_VEC} select query_id, chunk_id, list_cosine_similarity(qe, e) as score from qv, v",
+    "bm25": _bm25(lambda c: _PLAIN.format(c=c), 1.5, 0.75, 10**9, _ASKED_CHUNKS).replace("round(score, 6) as score", "score"),
+    "sparse": _sparse_sql("select query_id, term, qw from q0", 10**9).replace("round(score, 6) as score", "score"),
+    "pruned": _sparse_sql("select query_id, term, qw from q3 where before < 150000", 10**9).replace("round(score, 6) as score", "score"),
+}
 
-@register()
+
+@register(f"with {_legs_sql([_full_sql(_RUNS[n]) for n in ('dense', 'bm25', 'pruned')])} select query_id, chunk_id, round(score, 6) as score, cast(rank as integer) as rank from fr where rank <= 100")
 def ev_rrf200(spark: SparkSession, d: str) -> DataFrame:
     return _ranked(_fused(spark, d, full_rankings(spark, d), ("dense", "bm25", "pruned")).where("rank <= 100"))
 
 
-@register()
+def _ablation_sql() -> str:
+    ranked = {n: f"select query_id, chunk_id, row_number() over (partition by query_id order by round(score, 9) desc, chunk_id) as rank from ({_RUNS[n]}) qualify rank <= 200" for n in ("dense", "bm25", "sparse")}
+    for name, legs in {"3leg": ("dense", "bm25", "sparse"), "3leg+prune": ("dense", "bm25", "pruned")}.items():
+        ranked[name] = f"with {_legs_sql([_full_sql(_RUNS[n]) for n in legs])} select query_id, chunk_id, rank from fr"
+    means = (f"(with {_VEC}, {_QREL}, run as ({run}), {_metrics('run')} select '{name}' as leg, (select avg(ndcg) from nd) as ndcg, (select avg(recall) from rc) as recall)" for name, run in ranked.items())
+    return f"select leg, round(ndcg, 6) as ndcg, round(recall, 6) as recall from ({' union all '.join(means)})"
+
+
+@register(_ablation_sql())
 def ev_ablation(spark: SparkSession, d: str) -> DataFrame:
     runs = full_rankings(spark, d)
     legs = {n: runs[n] for n in ("dense", "bm25", "sparse")}
     legs |= {"3leg": durable(_fused(spark, d, runs, ("dense", "bm25", "sparse")), "fused"), "3leg+prune": durable(_fused(spark, d, runs, ("dense", "bm25", "pruned")), "fused")}
-    return evaluate.ablation(legs, durable(judged(spark, d), "judged"))
+    means = evaluate.ablation(legs, durable(judged(spark, d), "judged"))
+    return means.select("leg", F.round("ndcg", 6).alias("ndcg"), F.round("recall", 6).alias("recall"))
 
 
 from marlstone.plans import catalog_text  # noqa: E402, F401 - registers its queries

@@ -37,12 +37,25 @@ def sections_of(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "sections").where("text is not null").dropDuplicates(["section_id"])
 
 
-@register()
+def _packed(lists: str, limit: int) -> str:
+    """CTEs over a table (key, s: a list of sentences): w walks them one by one, and k holds the groups as (key, g, s)."""
+    return f"""w as (select key, s, 1 as i, 0 as g, length(s[1]) as n from {lists} where len(s) > 0
+      union all select key, s, i + 1, case when n + length(s[i + 1]) > {limit} then g + 1 else g end, case when n + length(s[i + 1]) > {limit} then length(s[i + 1]) else n + length(s[i + 1]) end from w where i < len(s)),
+    k as (select key, g, list(s[i] order by i) as s from w group by key, g)"""
+
+
+_SECTIONS = f"sc as (select distinct on (section_id) * from sections where text is not null), ss as (select section_id as key, {_SENT} as s from sc)"
+_TITLED = "case when coalesce(heading, '') = '' then '(preamble)' else heading end as section, case when coalesce(heading, '') = '' then array_to_string(s, ' ') else heading || chr(10) || chr(10) || array_to_string(s, ' ') end as text"
+
+
+@register(f"with recursive {_SECTIONS}, {_packed('ss', 2000)} select section_id, doc, page, g as ordinal, {_TITLED} from k join sc on key = section_id")
 def fn_chunk_flat(spark: SparkSession, d: str) -> DataFrame:
     return chunking.chunk_sections(sections_of(spark, d))
 
 
-@register()
+@register(f"""select b.section_id, b.parent, g as ordinal, array_to_string(t.s, ' ') as text, length(b.text) as parent_length from (
+      with recursive {_SECTIONS}, {_packed('ss', 2000)} select section_id, g as parent, s, {_TITLED} from k join sc on key = section_id) b
+    join (with recursive {_SECTIONS}, big as (with recursive {_packed('ss', 2000)} select key * 100000 + g as key, s from k), {_packed('big', 600)} select * from k) t on t.key = b.section_id * 100000 + b.parent""")
 def fn_chunk_small_big(spark: SparkSession, d: str) -> DataFrame:
     big, small = chunking.small_to_big(sections_of(spark, d))
     return chunking.with_parent(small, big, ["section_id"]).select("section_id", "parent", "ordinal", "text", F.length("parent_text").alias("parent_length"))
