@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marlstone.functions.tokens import tokens
-from marlstone.session import durable
+from marlstone.session import durable, sent_if_small
 
 K1, B, SCALE = 1.2, 0.75, 9
 
@@ -82,6 +82,10 @@ def bm25(posted: DataFrame, stats: DataFrame, queries: DataFrame, k: int, allowe
     df = document_frequency(hit)
     rows = hit if allowed is None else hit.join(allowed.select("chunk_id").distinct(), "chunk_id", "left_semi")
     weighted = terms.join(df, "term").crossJoin(F.broadcast(stats.select("n", "avg_len"))).select("query_id", "term", "avg_len", idf(F.col("n"), F.col("df")).alias("w"))
+    weighted, small = sent_if_small(weighted, name="weights")
+    if small:
+        # laid out by chunk before the join, the scores of a query and a chunk are added up where they arise
+        rows = rows.repartition("chunk_id")
     part = F.col("w") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
     scored = rows.join(weighted, "term").groupBy("query_id", "chunk_id").agg(F.sum(part).alias("score"))
     return top_k(scored, k)

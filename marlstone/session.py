@@ -9,8 +9,10 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
+SENT_ROWS = 100_000
 
 
 def local_session(cores: str | int = 8, shuffle_partitions: int = 8, app: str = "marlstone") -> SparkSession:
@@ -70,6 +72,13 @@ def durable(df: DataFrame, name: str = "step") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def sent_if_small(df: DataFrame, most: int = SENT_ROWS, name: str = "side") -> tuple[DataFrame, bool]:
+    """df, written, and whether it has `most` rows at most: then it is marked to be sent to all executors. Beyond that it is joined by its keys."""
+    kept = durable(df, name)
+    small = kept.limit(most + 1).count() <= most
+    return (F.broadcast(kept) if small else kept), small
+
+
 def clear(spark: SparkSession) -> None:
     """Remove what this application has written with durable(); results not yet read are lost with it."""
     _remove(spark, _steps(spark))
