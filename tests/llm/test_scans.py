@@ -62,3 +62,33 @@ def test_repair(spark):
 
 def test_empty(spark):
     assert scans.scan_traces(rows(spark, [])).count() == 0
+
+
+def test_confusions_are_learned_from_the_collection(spark):
+    common = ["measured", "layers", "counted", "twice", "follow", "markets", "northern"]
+    # `#` for e is in no table; the inflections at the end are as frequent among frequent words
+    rare = [w.replace("e", "#", 1) for w in common if "e" in w] + ["markete", "layere"]
+    vocabulary = spark.createDataFrame([(w, 4000) for w in common] + [("measures", 300), ("markete", 90), ("layere", 80)] + [(w, 1) for w in rare if "#" in w], "word string, n bigint")
+    pairs, learned = scans.confusions(vocabulary)
+    got = {(r.misread, r.printed): r.support for r in learned.collect()}
+    assert got == {("#", "e"): 6} or got == {("#", "e"): sum("#" in w for w in rare)}
+    fixes = {r.word: r.correction for r in scans.corrections(pairs, learned).collect()}
+    assert fixes == {w: w.replace("#", "e") for w in rare if "#" in w}
+    names = spark.createDataFrame([("oluk#ar", 1), ("oluk%ar", 1)], "word string, n bigint")
+    assert {r.word for r in scans.misread_names(names, learned).collect()} == {"oluk#ar"}
+
+
+def test_headers_repeat_on_pages(spark):
+    body = "the measured layers were counted again and again\nuntil the archive was closed in the evening"
+    texts = [(n, "d", n, "of the brittle markets" + "\n\n" + body) for n in (1, 2, 3)] + [(4, "e", 1, "of the brittle markets\n\n" + body), (5, None, 1, "of the brittle markets\n\n" + body)]
+    df = spark.createDataFrame([(i, d, p, "(preamble)", t) for i, d, p, t in texts], "chunk_id bigint, doc string, page int, section string, text string")
+    assert {(r.chunk_id, r.kind) for r in scans.scan_traces(df).collect()} == {(1, "header"), (2, "header"), (3, "header")}
+    got = {r.chunk_id: r.repaired for r in scans.repair(df).collect()}
+    assert "brittle" not in got[1] and "brittle" in got[4]
+
+
+def test_lists_are_repaired_line_by_line(spark):
+    items = "1. The mea5ured layers\n2. of the young mark-\nets and more\n3. The follow-\nup trial\n4. last one"
+    df = rows(spark, [*corpus(), (1, items), (2, "x\n12\ny\n13\nz")])
+    got = {r.chunk_id: r.repaired for r in scans.repair(df).collect()}
+    assert got[1] == "1. The measured layers\n2. of the young markets\n and more\n3. The follow-up\n trial\n4. last one"
