@@ -165,9 +165,9 @@ def apart(lines: list[str], kinds: list[str]) -> list[tuple[int, str]]:
 
 
 def examine(chunks: DataFrame) -> DataFrame:
-    """(chunk_id, doc, page, header, pageno, words, cuts, lines) of every distinct chunk; null texts have none. lines: the keys of lines apart."""
+    """(chunk_id, doc, page, key, header, pageno, words, cuts, lines) of every chunk; null texts have none. lines: the keys of lines apart; key: a hash of section and text."""
     place = [F.col(c).cast(t).alias(c) if c in chunks.columns else F.lit(None).cast(t).alias(c) for c, t in (("doc", "string"), ("page", "int"))]
-    source = chunks.select(F.col("chunk_id").cast("bigint").alias("chunk_id"), "section", "text", *place).where("text is not null")
+    source = chunks.select(F.col("chunk_id").cast("bigint").alias("chunk_id"), "section", "text", *place, F.xxhash64("section", "text").alias("key")).where("text is not null")
     cut = pa.struct([("a", pa.string()), ("b", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,11 +180,20 @@ def examine(chunks: DataFrame) -> DataFrame:
                 keys.append([k for _, k in apart(lines, kinds)])
             strings = pa.list_(pa.string())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(3), batch.column(4), pa.array(header, pa.bool_()), pa.array(pageno, pa.bool_()), pa.array(words, strings), pa.array(cuts, pa.list_(cut)), pa.array(keys, strings)],
-                ["chunk_id", "doc", "page", "header", "pageno", "words", "cuts", "lines"],
+                [batch.column(0), batch.column(3), batch.column(4), batch.column(5), pa.array(header, pa.bool_()), pa.array(pageno, pa.bool_()), pa.array(words, strings), pa.array(cuts, pa.list_(cut)), pa.array(keys, strings)],
+                ["chunk_id", "doc", "page", "key", "header", "pageno", "words", "cuts", "lines"],
             )
 
-    return source.mapInArrow(run, "chunk_id bigint, doc string, page int, header boolean, pageno boolean, words array<string>, cuts array<struct<a:string,b:string>>, lines array<string>")
+    return source.mapInArrow(run, "chunk_id bigint, doc string, page int, key bigint, header boolean, pageno boolean, words array<string>, cuts array<struct<a:string,b:string>>, lines array<string>")
+
+
+def without_repeats(seen: DataFrame) -> DataFrame:
+    """Each chunk once. Only ids and hashes are brought together; the words stay where they are as long as the repeats are few enough to be sent."""
+    same = ["chunk_id", "key", "doc", "page"]
+    again = seen.groupBy(*same).agg(F.min("_row").alias("_first"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    matched = [seen[c].eqNullSafe(again[c]) for c in same]
+    repeats, _ = sent_if_small(seen.select(*same, "_row").join(again, matched).where(F.col("_row") > F.col("_first")).select("_row"), SENT_WORDS, "repeats")
+    return seen.join(repeats, "_row", "left_anti").drop("_row", "key")
 
 
 def running_headers(seen: DataFrame) -> DataFrame:
@@ -271,7 +280,7 @@ def misread_names(vocabulary: DataFrame, learned: DataFrame) -> DataFrame:
 
 def findings(chunks: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """Flags by chunk; (chunk_id, word, correction or null) of misread words; (chunk_id, a, b, joined) of cut words; (chunk_id, line) of running headers."""
-    seen = durable(examine(chunks).distinct(), "scans")
+    seen = without_repeats(durable(examine(chunks).withColumn("_row", F.monotonically_increasing_id()), "scans"))
     words = seen.select("chunk_id", F.explode("words").alias("word"))
     vocabulary = durable(words.groupBy("word").agg(F.count(F.lit(1)).alias("n")), "vocabulary")
     pairs, learned = confusions(vocabulary)
