@@ -2,24 +2,25 @@
 
 Records with equal sets are one class first. Of each class the rarest shingles are its prefix: two sets of
 similarity t share one there (n - ceil(t n) + 1 of n, in one order for all), so only classes that meet
-on a prefix shingle are compared: tile by tile, in order of size, within the band of sizes that t allows. Each class
+on a prefix shingle are compared. The classes of a shingle lie in order of their size and are cut into tiles of TILE_ROWS;
+a tile is compared with itself and with those whose sizes are within the band that t allows. Each class
 carries a hashed bitmap of 256 bits; the bits in which two bitmaps differ bound the overlap from above,
-and only pairs that may still reach t are intersected exactly, on their sorted arrays. Nothing is capped or
+and only pairs that may still reach t are intersected exactly, by merging their sorted arrays. Nothing is capped or
 sampled, so no link is lost.
 
-The order (by frequency) comes from one counter table of fixed size over all records, merged block by
-block; any consistent order is exact, the table only decides how much is compared. It also tells, from above, how
-large a shingle's group can get: groups over TILE_ROWS are laid out in tiles of pairs of sub-groups, so that no
-task holds a whole hot group.
+The order (by frequency) comes from a table of upper bounds of the shingles' counts, which has about two counters for each shingle, up to a
+bound. Any consistent order is exact; the table only decides how much is compared. A shingle that it shows to be in one class only
+gets no row at all. Tiles are cut by the real number of rows while they stream by, so no task holds a hot shingle's rows, and no row is
+repeated for a shingle of which the table says too much.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -28,8 +29,10 @@ from pyspark.sql import functions as F
 from marlstone.session import durable
 
 SHINGLE, MIN_WORDS, SIMILARITY = 3, 20, 0.6
-SKETCH_BITS, BLOCK_BITS = 22, 12
+MIN_BITS, MAX_BITS, BLOCK_BITS = 22, 25, 12
 TILE_ROWS, PAIRS_AT_ONCE = 4096, 1 << 21
+#: rows of a shingle that may stream through one task
+STREAM_ROWS = 1 << 20
 KEPT_WORDS = 1 << 20
 ROWS_AT_ONCE = 1 << 11
 _WORD = re.compile(r"[^\W_]+")
@@ -90,32 +93,50 @@ def shingled(records: DataFrame, record: str, text: str, shingle: int, min_words
     return source.mapInArrow(run, "id bigint, h1 bigint, h2 bigint, n int, set array<bigint>")
 
 
+def table_bits(shingles: int) -> int:
+    """Two counters for each shingle, within the bounds of the table."""
+    return min(MAX_BITS, max(MIN_BITS, math.ceil(math.log2(max(1, shingles))) + 1))
+
+
+def _log(counts: np.ndarray) -> np.ndarray:
+    """Eighths of log2(1 + count), rounded up: 8 is exactly 1."""
+    return np.minimum(np.ceil(8 * np.log2(1.0 + counts) - 1e-9), 255).astype(np.uint8)
+
+
+def _count(logs: np.ndarray) -> np.ndarray:
+    return 2.0 ** (logs / 8.0) - 1
+
+
 def frequency_table(classes: DataFrame) -> np.ndarray:
-    """log2-like counts (uint8, eighths) of the shingles of all classes, by the top SKETCH_BITS of their mixed hash."""
+    """Upper bounds of the shingles' counts (see _log) by the top bits of their mixed hash; a power of two of at most 2^MAX_BITS bytes."""
+    size = table_bits(classes.agg(F.coalesce(F.sum(F.size("set")), F.lit(0)).alias("n")).first()["n"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros(1 << SKETCH_BITS, np.int32)
+        table = np.zeros(1 << size, np.int32)
         for batch in batches:
-            h = _mix(batch.column(0).flatten().to_numpy().view(np.uint64)) >> np.uint64(64 - SKETCH_BITS)
-            table += np.bincount(h.astype(np.int64), minlength=len(table)).astype(np.int32)
+            h, n = np.unique(_mix(batch.column(0).flatten().to_numpy().view(np.uint64)) >> np.uint64(64 - size), return_counts=True)
+            table[h.astype(np.int64)] += n.astype(np.int32)
         blocks = table.reshape(-1, 1 << BLOCK_BITS)
         used = np.flatnonzero(blocks.any(1))
-        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array([blocks[i].tobytes() for i in used], pa.binary())], ["block", "counts"])
-
-    def merge(block: pd.DataFrame) -> pd.DataFrame:
-        total = sum(np.frombuffer(x, np.int32).astype(np.int64) for x in block["counts"])
-        return pd.DataFrame({"block": [block["block"].iloc[0]], "logs": [np.minimum(np.ceil(8 * np.log2(1 + total)), 255).astype(np.uint8).tobytes()]})
-
-    rows = classes.select("set").mapInArrow(count, "block int, counts binary").groupBy("block").applyInPandas(merge, "block int, logs binary").collect()
-    out = np.zeros((1 << (SKETCH_BITS - BLOCK_BITS), 1 << BLOCK_BITS), np.uint8)
-    for r in rows:
-        out[r["block"]] = np.frombuffer(r["logs"], np.uint8)
+        for k in range(0, len(used), 512):
+            part = used[k : k + 512]
+            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array([_log(blocks[i]).tobytes() for i in part], pa.binary())], ["block", "logs"])
+
+    def merge(table: pa.Table) -> pa.Table:
+        total = sum(_count(np.frombuffer(x, np.uint8)) for x in table.column("logs").to_pylist())
+        return pa.table({"block": table.column("block").slice(0, 1), "logs": pa.array([_log(total).tobytes()], pa.binary())})
+
+    rows = classes.select("set").mapInArrow(count, "block int, logs binary").groupBy("block").applyInArrow(merge, "block int, logs binary").toArrow()
+    out = np.zeros((1 << (size - BLOCK_BITS), 1 << BLOCK_BITS), np.uint8)
+    for block, logs in zip(rows.column("block").to_pylist(), rows.column("logs").to_pylist()):
+        out[block] = np.frombuffer(logs, np.uint8)
     return out.ravel()
 
 
 def prefixes(classes: DataFrame, table: np.ndarray, similarity: float) -> DataFrame:
-    """(shingle, tile, side, n, id, bits): one row per prefix shingle of a class and tile it belongs to."""
+    """(shingle, salt, salts, n, id, bits): one row per prefix shingle of a class, without those that no other class can have."""
     shipped = classes.sparkSession.sparkContext.broadcast(table)
+    top, stream = int(len(table)).bit_length() - 1, STREAM_ROWS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         logs = shipped.value
@@ -127,91 +148,163 @@ def prefixes(classes: DataFrame, table: np.ndarray, similarity: float) -> DataFr
             size = np.diff(offsets)
             owner = np.repeat(np.arange(len(size)), size)
             mixed = _mix(values.view(np.uint64))
-            log = logs[(mixed >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
+            log = logs[(mixed >> np.uint64(64 - top)).astype(np.int64)]
             bits = np.zeros((len(size), 4), np.uint64)
             place = (mixed & np.uint64(255)).astype(np.int64)
             np.bitwise_or.at(bits, (owner, place >> 6), np.uint64(1) << (place & 63).astype(np.uint64))
             order = np.lexsort((values, log, owner))
             rank = np.arange(len(values)) - offsets[owner]
-            take = rank < (size - np.ceil(similarity * size - 1e-9).astype(np.int64) + 1)[owner]
+            take = (rank < (size - np.ceil(similarity * size - 1e-9).astype(np.int64) + 1)[owner]) & (log[order] > 8)
             who, at = owner[take], order[take]
-            shingle, most = values[at], 2.0 ** (log[at] / 8.0) - 1
-            split = np.maximum(1, np.ceil(most / TILE_ROWS)).astype(np.int64)
-            salt = (_mix(batch.column(0).to_numpy()[who].view(np.uint64)) % split.astype(np.uint64)).astype(np.int64)
-            again = np.repeat(np.arange(len(who)), split)
-            other = np.arange(len(again)) - np.repeat(np.cumsum(split) - split, split)
-            low, high = np.minimum(salt[again], other), np.maximum(salt[again], other)
-            side = np.where(low == high, 0, np.where(salt[again] == low, 1, 2))
-            raw = bits.view(np.uint8).reshape(len(size), 32)[who[again]]
+            # a shingle that may have very many rows streams through several tasks
+            salts = np.maximum(1, np.ceil(_count(log[at]) / stream)).astype(np.int64)
+            salt = (_mix(batch.column(0).to_numpy()[who].view(np.uint64)) % salts.astype(np.uint64)).astype(np.int32)
+            raw = bits.view(np.uint8).reshape(len(size), 32)[who]
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(shingle[again]),
-                    pa.array(low * split[again] + high),
-                    pa.array(side.astype(np.int8)),
-                    pa.array(size[who[again]].astype(np.int32)),
-                    batch.column(0).take(pa.array(who[again])),
-                    pa.Array.from_buffers(pa.binary(32), len(again), [None, pa.py_buffer(np.ascontiguousarray(raw))]).cast(pa.binary()),
+                    pa.array(values[at]),
+                    pa.array(salt),
+                    pa.array(salts.astype(np.int32)),
+                    pa.array(size[who].astype(np.int32)),
+                    batch.column(0).take(pa.array(who)),
+                    pa.Array.from_buffers(pa.binary(32), len(who), [None, pa.py_buffer(np.ascontiguousarray(raw))]).cast(pa.binary()),
                 ],
-                ["shingle", "tile", "side", "n", "id", "bits"],
+                ["shingle", "salt", "salts", "n", "id", "bits"],
             )
 
-    return classes.select("id", "set").mapInArrow(run, "shingle bigint, tile bigint, side tinyint, n int, id bigint, bits binary")
-
-
-def compare(batch: pa.Table, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of ids of whole tiles (sorted by tile, then size) that sizes and bitmaps leave possible."""
-    key = np.stack([batch.column("shingle").to_numpy(), batch.column("tile").to_numpy()])
-    n, ids, side = (batch.column(c).to_numpy() for c in ("n", "id", "side"))
-    bits = np.frombuffer(b"".join(batch.column("bits").to_pylist()), np.uint64).reshape(-1, 4)
-    edge = np.flatnonzero(np.append((key[:, 1:] != key[:, :-1]).any(0), True)) + 1
-    start = np.concatenate(([0], edge[:-1]))
-    last = np.repeat(edge, edge - start)
-    # a row meets the rows after it in its tile while their sizes stay within the band; sizes rise within a tile
-    tile_no = np.repeat(np.arange(len(edge)), edge - start)
-    band = np.searchsorted(tile_no * (1 << 40) + n, tile_no * (1 << 40) + np.floor(n / similarity + 1e-9).astype(np.int64), "right")
-    count = np.minimum(band, last) - np.arange(len(n)) - 1
+    return classes.select("id", "set").mapInArrow(run, "shingle bigint, salt int, salts int, n int, id bigint, bits binary")
+
+
+class Rows:
+    """Classes of one or more shingles: sizes, ids and bitmaps."""
+
+    def __init__(self, n: np.ndarray, ids: np.ndarray, bits: np.ndarray):
+        self.n, self.ids, self.bits = n, ids, bits.reshape(-1, 4)
+
+    def pack(self) -> bytes:
+        return self.n.astype(np.int32).tobytes() + self.ids.tobytes() + self.bits.tobytes()
+
+    @classmethod
+    def unpack(cls, data: bytes) -> Rows:
+        k = len(data) // 44
+        return cls(np.frombuffer(data, np.int32, k).astype(np.int64), np.frombuffer(data, np.int64, k, 4 * k) if k % 2 == 0 else np.frombuffer(data[4 * k : 12 * k], np.int64), np.frombuffer(data[12 * k :], np.uint64))
+
+
+def possible(x: Rows, y: Rows, begin: np.ndarray, end: np.ndarray, similarity: float) -> Iterator[pa.RecordBatch]:
+    """(a, b) of row i of x and rows begin[i] to end[i] of y whose bitmaps leave the similarity possible."""
+    count = np.maximum(end - begin, 0)
     ends = np.cumsum(count)
     i = 0
-    while i < len(n):
+    while i < len(count):
         j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + PAIRS_AT_ONCE, "right")))
         a = np.repeat(np.arange(i, j), count[i:j])
-        b = a + 1 + np.arange(len(a)) - np.repeat(ends[i:j] - count[i:j] - (ends[i] - count[i]), count[i:j])
+        b = np.arange(len(a)) + np.repeat(begin[i:j] - (ends[i:j] - count[i:j] - (ends[i] - count[i])), count[i:j])
         if len(a):
-            both = n[a] + n[b]
-            differ = np.bitwise_count(bits[a] ^ bits[b]).sum(1, dtype=np.int64)
-            ok = ((both - differ) // 2 >= np.ceil(similarity / (1 + similarity) * both - 1e-9)) & (ids[a] != ids[b]) & ((side[a] == 0) | (side[a] != side[b]))
-            a, b = a[ok], b[ok]
-            yield np.minimum(ids[a], ids[b]), np.maximum(ids[a], ids[b])
+            both = x.n[a] + y.n[b]
+            differ = np.bitwise_count(x.bits[a] ^ y.bits[b]).sum(1, dtype=np.int64)
+            ok = ((both - differ) // 2 >= np.ceil(similarity / (1 + similarity) * both - 1e-9)) & (x.ids[a] != y.ids[b])
+            p, q = x.ids[a[ok]], y.ids[b[ok]]
+            pairs = np.unique(np.stack([np.minimum(p, q), np.maximum(p, q)]), axis=1)
+            if pairs.shape[1]:
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
         i = j
 
 
-def candidates(entries: DataFrame, similarity: float) -> DataFrame:
-    """(a, b), a < b: class pairs that the tiles leave possible, distinct."""
+def within(rows: Rows, group: np.ndarray, similarity: float) -> Iterator[pa.RecordBatch]:
+    """Pairs of rows of the same group (numbers that rise); sizes rise within a group."""
+    at = np.arange(len(group))
+    band = np.searchsorted(group * (1 << 40) + rows.n, group * (1 << 40) + np.floor(rows.n / similarity + 1e-9).astype(np.int64), "right")
+    return possible(rows, rows, at + 1, band, similarity)
+
+
+_TILED = "a bigint, b bigint, shingle bigint, low int, high int, tile binary"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = None
 
-        def out(table: pa.Table) -> Iterator[pa.RecordBatch]:
-            for a, b in compare(table, similarity):
-                both = np.unique(np.stack([a, b]), axis=1) if len(a) else np.empty((2, 0), np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], ["a", "b"])
+def tiled(entries: DataFrame, similarity: float, tile_rows: int) -> DataFrame:
+    """Pairs (a, b) of shingles whose rows fill one tile at most, and the tiles (shingle, low, high, tile) of all others."""
+    none = {c: pa.nulls for c in ("a", "b", "shingle", "low", "high", "tile")}
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("shingle", pa.int64()), ("low", pa.int32()), ("high", pa.int32()), ("tile", pa.binary())])
 
+    def filled(n: int, **columns: pa.Array) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([columns.get(f.name, none[f.name](n, f.type)) for f in schema], schema=schema)
+
+    def rows_of(t: pa.Table) -> Rows:
+        return Rows(t.column("n").to_numpy().astype(np.int64), t.column("id").to_numpy(), np.frombuffer(b"".join(t.column("bits").to_pylist()), np.uint64))
+
+    def tiles(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        """The rows of one shingle (and salt) as tiles."""
+        for k in range(0, t.num_rows, tile_rows):
+            part = rows_of(t.slice(k, tile_rows))
+            yield filled(1, shingle=t.column("shingle").combine_chunks().slice(0, 1), low=pa.array([int(part.n[0])], pa.int32()), high=pa.array([int(part.n[-1])], pa.int32()), tile=pa.array([part.pack()], pa.binary()))
+
+    def whole(t: pa.Table, went_on: bool) -> Iterator[pa.RecordBatch]:
+        """Rows of whole shingles; went_on: tiles of the first one were given before."""
+        shingle, salt, salts = (t.column(c).to_numpy() for c in ("shingle", "salt", "salts"))
+        new = np.append(True, (shingle[1:] != shingle[:-1]) | (salt[1:] != salt[:-1]))
+        start = np.flatnonzero(new)
+        size = np.diff(np.append(start, len(shingle)))
+        large = (size > tile_rows) | (salts[start] > 1)
+        large[0] |= went_on
+        for g in np.flatnonzero(large):
+            yield from tiles(t.slice(start[g], size[g]))
+        keep = np.repeat(~large & (size > 1), size)
+        if keep.any():
+            for pairs in within(rows_of(t.filter(pa.array(keep))), np.repeat(np.arange(len(size)), size)[keep], similarity):
+                yield filled(pairs.num_rows, a=pairs.column(0), b=pairs.column(1))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest, went_on = None, False
         for batch in batches:
             if not batch.num_rows:
                 continue
             table = pa.Table.from_batches([batch])
             table = pa.concat_tables([rest, table]) if rest is not None else table
-            shingle, tile = table.column("shingle").to_numpy(), table.column("tile").to_numpy()
-            other = np.flatnonzero((shingle != shingle[-1]) | (tile != tile[-1]))
-            cut = int(other[-1]) + 1 if len(other) else 0  # the last tile may go on in the next batch
-            rest = table.slice(cut)
+            shingle, salt = table.column("shingle").to_numpy(), table.column("salt").to_numpy()
+            other = np.flatnonzero((shingle != shingle[-1]) | (salt != salt[-1]))
+            cut = int(other[-1]) + 1 if len(other) else 0  # the last shingle may go on in the next batch
             if cut:
-                yield from out(table.slice(0, cut).combine_chunks())
+                yield from whole(table.slice(0, cut).combine_chunks(), went_on)
+                went_on = False
+            rest = table.slice(cut)
+            full = rest.num_rows // tile_rows * tile_rows
+            if full:  # what fills tiles need not be kept
+                yield from tiles(rest.slice(0, full).combine_chunks())
+                rest, went_on = rest.slice(full), True
         if rest is not None and rest.num_rows:
-            yield from out(rest.combine_chunks())
+            yield from whole(rest.combine_chunks(), went_on)
+
+    laid = entries.repartition("shingle", "salt").sortWithinPartitions("shingle", "salt", "n")
+    return laid.mapInArrow(run, _TILED)
 
-    laid = entries.repartition("shingle", "tile").sortWithinPartitions("shingle", "tile", "n")
-    return laid.mapInArrow(run, "a bigint, b bigint").distinct()
+
+def tile_pairs(tiles: DataFrame, similarity: float) -> DataFrame:
+    """(a, b) of a tile and itself, and of two tiles of one shingle whose sizes are within the band. Tiles are paired by their numbers first."""
+    numbered = durable(tiles.withColumn("no", F.monotonically_increasing_id()), "tiles")
+    x = numbered.select("shingle", F.col("no").alias("i"), F.col("low").alias("low_i"), F.col("high").alias("high_i"))
+    y = numbered.select("shingle", F.col("no").alias("j"), F.col("low").alias("low_j"), F.col("high").alias("high_j"))
+    near = (F.col("low_i") * F.lit(similarity) <= F.col("high_j") + 1e-9) & (F.col("low_j") * F.lit(similarity) <= F.col("high_i") + 1e-9)
+    laid = x.join(y, "shingle").where((F.col("i") <= F.col("j")) & near).select("i", "j")
+    both = laid.join(numbered.select(F.col("no").alias("i"), F.col("tile").alias("x")), "i").join(numbered.select(F.col("no").alias("j"), F.col("tile").alias("y")), "j")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, j, p, q in zip(*(batch.column(c).to_pylist() for c in range(4))):
+                x = Rows.unpack(p)
+                if i == j:
+                    yield from within(x, np.zeros(len(x.n), np.int64), similarity)
+                    continue
+                y = Rows.unpack(q)
+                begin = np.searchsorted(y.n, np.ceil(x.n * similarity - 1e-9).astype(np.int64), "left")
+                yield from possible(x, y, begin, np.searchsorted(y.n, np.floor(x.n / similarity + 1e-9).astype(np.int64), "right"), similarity)
+
+    return both.select("i", "j", "x", "y").mapInArrow(run, "a bigint, b bigint")
+
+
+def candidates(entries: DataFrame, similarity: float) -> DataFrame:
+    """(a, b), a < b: class pairs that the tiles leave possible, distinct."""
+    first = durable(tiled(entries, similarity, TILE_ROWS), "tiled")
+    pairs, tiles = first.where("a is not null").select("a", "b"), first.where("tile is not null").select("shingle", "low", "high", "tile")
+    return pairs.unionByName(tile_pairs(tiles, similarity)).distinct()
 
 
 def common_counts(batch: pa.RecordBatch) -> np.ndarray:
@@ -251,20 +344,32 @@ def near_copies(records: DataFrame, record: str = "chunk_id", text: str = "text"
     membership = durable(members.join(reps, ["h1", "h2"]).select("id", "rep", "h1", "h2"), "members")
     first = membership.where("id = rep").select("id", "h1", "h2")
     classes = durable(sets.dropDuplicates(["id", "h1", "h2"]).join(first, ["id", "h1", "h2"], "left_semi").select("id", "n", "set"), "classes")
-    possible = candidates(prefixes(classes, frequency_table(classes), similarity), similarity)
+    met = candidates(prefixes(classes, frequency_table(classes), similarity), similarity)
     left = classes.select(F.col("id").alias("a"), F.col("set").alias("x"))
     right = classes.select(F.col("id").alias("b"), F.col("set").alias("y"))
-    met = intersected(possible.join(left, "a").join(right, "b"))
+    met = intersected(met.join(left, "a").join(right, "b"))
     links = met.where(F.col("_c") >= F.lit(similarity) * F.col("_u") - 1e-9).groupBy("a", "b").agg(F.max(F.col("_c") / F.col("_u")).alias("similarity"))
     return durable(links, "links"), membership.select("id", "rep").distinct()
 
 
 def all_pairs(links: DataFrame, members: DataFrame) -> DataFrame:
-    """(a, b), a < b: every pair of linked records, with the members of the classes put in for them."""
-    x, y = members.select(F.col("rep").alias("a"), F.col("id").alias("i")), members.select(F.col("rep").alias("b"), F.col("id").alias("j"))
-    across = links.join(x, "a").join(y, "b").select("i", "j")
-    within = x.join(members.select(F.col("rep").alias("a"), F.col("id").alias("j")), "a").where("i < j").select("i", "j")
-    return across.unionByName(within).where("i <> j").select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b")).distinct()
+    """(a, b), a < b: every pair of linked records, with the members of the classes put in for them.
+
+    A class with more than TILE_ROWS members is taken apart by salts, one side of each join by its own salt and the other with all of them.
+    """
+    sizes = members.groupBy("rep").agg(F.ceil(F.count(F.lit(1)) / TILE_ROWS).cast("int").alias("_salts"))
+    salted = members.join(sizes, "rep").withColumn("_salt", F.pmod(F.xxhash64("id"), F.col("_salts")).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("_salts") - 1)).alias("_salt")
+
+    def put_in(pairs: DataFrame, rep: str, name: str) -> DataFrame:
+        own = salted.select(F.col("rep").alias(rep), "_salt", F.col("id").alias(name))
+        wide = pairs.join(sizes.withColumnRenamed("rep", rep), rep).select(*pairs.columns, every)
+        return wide.join(own, [rep, "_salt"]).drop("_salt", rep)
+
+    across = put_in(put_in(links.select("a", "b"), "a", "i"), "b", "j")
+    other = salted.select("rep", F.col("id").alias("j"), every)
+    inside = salted.select("rep", "_salt", F.col("id").alias("i")).join(other, ["rep", "_salt"]).where("i < j").select("i", "j")
+    return across.select("i", "j").unionByName(inside).where("i <> j").select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b")).distinct()
 
 
 def groups(links: DataFrame, members: DataFrame) -> DataFrame:
