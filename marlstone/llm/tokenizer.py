@@ -2,10 +2,13 @@
 
 A pair of neighbouring bytes that occurs inside no token of the vocabulary marks a certain cut: no merge
 can cross it, so the two sides can be encoded by themselves and their ids put one after the other.
-Cuts are made where such a pair is a non-space byte before ASCII white space (there the pre-tokenizer,
-too, sees the same pieces on both sides) and, in fragments over LONG bytes, between two ASCII letters.
-What remains are mostly single words with the blank before them. A batch's distinct fragments are encoded
-once each, and kept for later batches; the ids of the texts are gathered from them as arrays.
+A cut must also leave the pre-tokenizer's pieces as they are. It does, wherever the pair stands, if
+(a) the second byte is ASCII white space and the first is not, or
+(b) neither belongs to white space and the second begins a character other than an apostrophe: inside a run of letters, digits or
+signs both sides are runs of their own, and between two runs there is a piece's end anyway. (An apostrophe could begin a
+contraction on the right side only.) Bytes that white space beyond ASCII may contain are left alone.
+So every pair of this kind is cut. What remains are mostly single words with the blank before them, or parts of words and
+signs. A batch's distinct fragments are encoded once each, and kept for later batches; the ids of the texts are gathered from them as arrays.
 
 A map-only step: no shuffle. The vocabulary (its size is fixed by the tokenizer, and checked) is
 read by the driver from a path that is a parameter, and broadcast.
@@ -25,14 +28,17 @@ from pyspark.sql import functions as F
 FOLDER = "/opt/tokenizers"
 # fixed value: the pre-tokenizer's pattern of the byte_bpe vocabularies
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-LONG = 64
 KEPT_FRAGMENTS = 1 << 19
 SLICE_BYTES = 8 << 20
 MAX_VOCABULARY_BYTES = 64 << 20
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
-_LETTER = np.zeros(256, bool)
-_LETTER[65:91] = _LETTER[97:123] = True
+# bytes at which no cut of kind (b) begins: white space, continuations that end white space beyond ASCII (U+0085, A0, 1680, 2000-200A, 2028, 2029, 202F, 205F, 3000)
+_NO_LEFT = _SPACE.copy()
+_NO_LEFT[[*range(0x80, 0x8B), 0x9F, 0xA0, 0xA8, 0xA9, 0xAF, *range(28, 32)]] = True
+# and before which none is made: continuations, leads of such white space, control separators, the apostrophe
+_NO_RIGHT = _SPACE.copy()
+_NO_RIGHT[[*range(0x80, 0xC0), 0xC2, 0xE1, 0xE2, 0xE3, *range(28, 32), 39]] = True
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -62,21 +68,16 @@ class ForcedBoundaryEncoder:
         self._plain = tiktoken.Encoding("corpus", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         never = ~inner_pairs(ranks)
         self._at_space = never & ~_SPACE[:, None] & _SPACE[None, :]
-        self._in_word = never & _LETTER[:, None] & _LETTER[None, :]
+        self._cut = self._at_space | never & ~_NO_LEFT[:, None] & ~_NO_RIGHT[None, :]
         self._kept: dict[bytes, list[int]] = {}
 
     def _fragment(self, fragment: bytes) -> list[int]:
-        if len(fragment) <= LONG:
-            return self._plain.encode_ordinary(fragment.decode("utf-8"))
-        b = np.frombuffer(fragment, np.uint8)
-        at = np.flatnonzero(self._in_word[b[:-1], b[1:]]) + 1
-        parts = [fragment[i:j] for i, j in zip([0, *at], [*at, len(fragment)])]
-        return [x for p in parts for x in self._plain.encode_ordinary(p.decode("utf-8"))]
+        return self._plain.encode_ordinary(fragment.decode("utf-8"))
 
     def _slice(self, data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the texts data[starts[i]:starts[i+1]], and where each text's ids begin."""
         edge = np.zeros(len(data) + 1, bool)
-        edge[1:-1] = self._at_space[data[:-1], data[1:]]
+        edge[1:-1] = self._cut[data[:-1], data[1:]]
         edge[starts] = True
         edges = np.flatnonzero(edge).astype(np.int32)
         n = len(edges) - 1

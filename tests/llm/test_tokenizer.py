@@ -63,3 +63,13 @@ def test_certain_cuts_are_certain(encoder):
     seen = tz.inner_pairs(ranks)
     assert not any(seen[t[i], t[i + 1]] is False for t in list(ranks)[:5000] for i in range(len(t) - 1))
     assert encoder._at_space[ord("e"), ord(" ")] and not encoder._at_space[ord(" "), ord(" ")]
+    # wherever a pair may be cut: between letters, at signs, between characters beyond ASCII; not before an apostrophe or beside white space
+    assert all(encoder._cut[ord(a), ord(b)] for a, b in ("qz", "e,", "a9", ".9")) and not encoder._cut[:, ord("'")].any()
+    assert encoder._cut[ord("q"), 0xC3] and not encoder._cut[:, 0x80:0xC0].any() and not encoder._cut[:, 0xE2].any() and not (encoder._cut & ~encoder._at_space)[0xA0].any()
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text(alphabet="absdtmlverXQz09'’\"!?.,-_–—(){} \t\n\r\x1c\x85\xa0\u1680\u2003\u2028\u202f\u205f\u3000\u200b\xadéßżпр你̈½²\x00\U0001f642", max_size=60), max_size=6))
+def test_cuts_leave_the_pieces_as_they_are(texts):
+    e = _shared()
+    assert e.encode(pa.array(texts, pa.string())).to_pylist() == [whole(e, t) if t else [] for t in texts]
