@@ -8,7 +8,7 @@ carries a hashed bitmap of 256 bits; the bits in which two bitmaps differ bound
 and only pairs that may still reach t are intersected exactly, by merging their sorted arrays. Nothing is capped or
 sampled, so no link is lost.
 
-The order (by frequency) comes from a table of upper bounds of the shingles' counts, which has about two counters for each shingle, up to a
+The order (by frequency) comes from a table of upper bounds of the shingles' counts, which has about one counter for four shingles, up to a
 bound. Any consistent order is exact; the table only decides how much is compared. A shingle that it shows to be in one class only
 gets no row at all. Tiles are cut by the real number of rows while they stream by, so no task holds a hot shingle's rows, and no row is
 repeated for a shingle of which the table says too much.
@@ -94,8 +94,8 @@ def shingled(records: DataFrame, record: str, text: str, shingle: int, min_words
 
 
 def table_bits(shingles: int) -> int:
-    """Two counters for each shingle, within the bounds of the table."""
-    return min(MAX_BITS, max(MIN_BITS, math.ceil(math.log2(max(1, shingles))) + 1))
+    """A counter for four shingles, within the bounds of the table."""
+    return min(MAX_BITS, max(MIN_BITS, math.ceil(math.log2(max(1, shingles))) - 2))
 
 
 def _log(counts: np.ndarray) -> np.ndarray:

@@ -80,6 +80,21 @@ def test_items_in_blocks(spark, monkeypatch):
     assert len(run(spark, [(1, ITEM)], items)) == 9
 
 
+def test_sent_and_joined_items_give_the_same(spark):
+    r = random.Random(8)
+    items = [(i % 25, " ".join(f"w{r.randrange(6)}" for _ in range(r.randint(0, 70)))) for i in range(27)] + [(99, None), (98, "")]
+    docs = [(i % 30, " ".join(f"w{r.randrange(6)}" if r.random() < 0.1 else x for x in r.choice(items[:27])[1].split())) for i in range(40)] + [(50, None), (51, "")]
+    d = spark.createDataFrame([(i, t, "x") for i, t in docs], "doc_id bigint, text string, words string")
+    e = spark.createDataFrame([(i, t, "s") for i, t in items], "item_id bigint, text string, no string")
+    sent, joined = (sorted(map(tuple, lk.find_leaks(d, e, block_bytes=n).collect())) for n in (1 << 20, 0))
+    assert sent == joined and len(sent) > 20 and any(x[2] < 13 for x in sent)
+    assert lk.find_leaks(d.where("false"), e, block_bytes=0).count() == lk.find_leaks(d, e.where("item_id > 97"), block_bytes=0).count() == 0
+
+
+def test_every_mask_ignores_something():
+    assert all("0" in m and len(m) == lk.SPAN and m[0] == m[-1] == "1" for m in lk.MASKS)
+
+
 def test_empty(spark):
     assert run(spark, [], [(1, ITEM)]) == {} and run(spark, [(1, ITEM)], []) == {}
 
