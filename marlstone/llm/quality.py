@@ -1,12 +1,12 @@
 """Text statistics of every document, and its text type: prose, list, table or junk.
 
-Statistics are taken of each line. Thresholds on them are noisy labelling functions: each votes for one
-type or abstains, and a line's votes are one bit pattern. How often each function fires on each type is
+Statistics are taken of each document and of each line. Thresholds on them are noisy labelling functions: each votes for one
+type or abstains, and a line's votes, with those of its document, are one bit pattern. How often each function fires on each type is
 learned by expectation-maximization from how the functions agree, over the characters of all
 documents; the posterior of a pattern then gives each line's type, and the sums over its lines the document's.
 
 Plan: one map step over the texts leaves a row per document with its few distinct patterns (written to
-the shared folder, as it is used twice); one aggregation over patterns, at most 2^15 rows whatever
+the shared folder, as it is used twice); one aggregation over patterns, at most 2^19 rows whatever
 the input; and one map step. No document is shuffled.
 """
 
@@ -33,7 +33,11 @@ FUNCTIONS = (
     ("common_words", PROSE), ("sentence", PROSE), ("running_words", PROSE),
     ("enumerated", LIST), ("entry_form", LIST), ("short_items", LIST),
     ("symbol_share", JUNK), ("few_signs", JUNK), ("unspeakable", JUNK), ("machine_form", JUNK), ("broken_signs", JUNK), ("repeated", JUNK),
+    ("document_common_words", PROSE), ("document_sentences", PROSE), ("document_symbols", JUNK), ("document_word_length", JUNK),
 )
+LINE_FUNCTIONS = 15
+#: thresholds on a document's statistics: common words, lines that end in punctuation, symbols, and the bounds of the mean word length
+MANY_COMMON, MANY_SENTENCES, MANY_SYMBOLS, WORD_LENGTHS = 0.2, 0.8, 0.25, (3.2, 11.0)
 N_PATTERNS = 1 << len(FUNCTIONS)
 MIN_CHARS = 20
 LONG, WINDOW = 400, 240
@@ -172,10 +176,18 @@ def statistics(text: str) -> tuple:
     )
 
 
+def document_votes(stats: tuple) -> int:
+    """Bits of the labelling functions on a document's statistics (see statistics)."""
+    _, length, symbols, ending, common = stats
+    bits = (common is not None and common >= MANY_COMMON) | (ending is not None and ending >= MANY_SENTENCES) << 1
+    bits |= (symbols is not None and symbols > MANY_SYMBOLS) << 2 | (length is not None and not WORD_LENGTHS[0] <= length <= WORD_LENGTHS[1]) << 3
+    return bits << LINE_FUNCTIONS
+
+
 _STATS = "n_chars bigint, n_words bigint, mean_word_length double, symbol_ratio double, lines_ending_in_punctuation double, common_word_share double"
 
 
-def document_patterns(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", with_statistics: bool = True) -> DataFrame:
+def document_patterns(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of documents: its id, statistics, and its patterns with their characters."""
     key = documents.select(doc_id).schema[0]
     source = documents.select(F.col(doc_id).alias("_doc"), F.col(text).alias("_text"))
@@ -184,8 +196,8 @@ def document_patterns(documents: DataFrame, doc_id: str = "doc_id", text: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            each = [line_patterns(t) if t else {} for t in texts]
-            stats = [statistics(t or "") if with_statistics else (None,) * 5 for t in texts]
+            stats = [statistics(t or "") for t in texts]
+            each = [{k | v: n for k, n in line_patterns(t).items()} if t else {} for t, v in zip(texts, map(document_votes, stats))]
             columns = [pa.array([len(t) if t is not None else None for t in texts], pa.int64()), pa.array([s[0] for s in stats], pa.int64())]
             columns += [pa.array([s[k] for s in stats], pa.float64()) for k in range(1, 5)]
             columns += [pa.array([[*e] for e in each], pa.list_(pa.int32())), pa.array([[*e.values()] for e in each], pa.list_(pa.int32()))]
@@ -205,6 +217,8 @@ def fit(patterns: np.ndarray, weight: np.ndarray, rounds: int = 60, anchor: floa
     voted = np.array([t for _, t in FUNCTIONS])
     right = np.where(voted == PROSE, 0.85, 0.4)  # signs of prose come together, those of the rest one by one
     wrong = np.where(voted == PROSE, 0.1, 0.03)
+    # a document's figures say less of a single line
+    wrong[LINE_FUNCTIONS:] = np.where(voted[LINE_FUNCTIONS:] == PROSE, 0.4, 0.05)
     start = np.where(voted[:, None] == np.arange(len(TYPES))[None, :], right[:, None], wrong[:, None])
     rate, share = start.copy(), np.full(len(TYPES), 1 / len(TYPES))
     if not len(patterns):
@@ -233,14 +247,14 @@ def posterior(fired: np.ndarray, share: np.ndarray, rate: np.ndarray) -> np.ndar
     return p / p.sum(1, keepdims=True)
 
 
-def text_types(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", with_statistics: bool = True) -> DataFrame:
+def text_types(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of documents: doc_id, the statistics, p_prose, p_list, p_table, p_junk, text_type.
 
     p_x is the expected share of the characters (of non-blank lines) that are of type x. text_type is
     prose unless more than half of the characters are expected not to be; then the largest other type.
     Null, empty and blank texts have null shares and type; null text has null n_chars, too.
     """
-    each = durable(document_patterns(documents, doc_id, text, with_statistics), "patterns")
+    each = durable(document_patterns(documents, doc_id, text), "patterns")
     counts = (
         each.select(F.explode(F.arrays_zip("patterns", "chars")).alias("x"))
         .groupBy(F.col("x.patterns").alias("pattern"))

@@ -139,7 +139,7 @@ def p9_statistics(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
-    rows = quality.text_types(table(spark, d, "documents"), with_statistics=False)
+    rows = p9_statistics(spark, d)
     return rows.where((F.col("n_chars") >= quality.MIN_CHARS) & (F.col("text_type") != "prose")).select("doc_id", F.col("text_type").alias("kind")).distinct()
 
 
