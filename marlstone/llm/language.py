@@ -5,6 +5,10 @@ dictionary, each sentence is compressed with all of them, and a chunk is cut int
 that the compressed bytes, plus a charge for each change of language, are least. A run whose best and
 second best sizes differ by less than MIN_MARGIN stays without a language.
 
+A sentence is first compressed with the likely dictionaries only: that of the sentence before, those its function words speak for,
+and the rival of each, which is the dictionary that compresses the other's content best. Wrong dictionaries compress about equally badly,
+so where the best of these lies SURE_MARGIN below the next one, the rest are not tried and count as the worst of those tried; else all are.
+
 Fitting takes a bounded sample of labelled rows (SAMPLE_DOCS documents a language, SAMPLE_CHUNKS chunks of
 each, of up to SAMPLE_CHARS characters). Labels are noisy and documents mixed, so each sentence of the sample
 is first put where its words fit best, and dropped where that isn't the language of its label.
@@ -43,6 +47,7 @@ NAMES = {
 SAMPLE_DOCS, SAMPLE_CHUNKS, SAMPLE_CHARS = 150, 2, 20_000
 DICTIONARY_BYTES, LEVEL = 64 << 10, 3
 CHANGE_BYTES, MIN_MARGIN, MIN_WORDS = 10, 0.06, 4
+SURE_MARGIN, RIVAL_BYTES, KEPT_SENTENCES = 0.15, 4000, 1 << 15
 SALTS = 16
 _END = re.compile(r"""(?<=[.!?…])["»”’)\]]*\s+(?=["«“‘(\[¿¡]*[^\W_a-zà-öø-ÿ])""")
 _CUT = re.compile(r"(?<=\w)[-‐¬\xad]\s*\n\s*(?=[^\W\d_])")
@@ -100,54 +105,97 @@ class Classifier:
     def __init__(self, content: dict[str, bytes]):
         import zstandard
 
-        self.langs, self._by = [*content], []
+        self.langs, self._by, self._kept = [*content], [], {}
         for data in content.values():
             d = zstandard.ZstdCompressionDict(data, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             d.precompute_compress(level=LEVEL)
             self._by.append(zstandard.ZstdCompressor(dict_data=d, write_content_size=False, write_dict_id=False, write_checksum=False))
+        self._speaks: dict[str, list[int]] = {}
+        for k, lang in enumerate(self.langs):
+            for w in COMMON_WORDS.get(lang, "").split():
+                self._speaks.setdefault(w, []).append(k)
+        self._rival = []
+        for k, data in enumerate(content.values()):
+            size = [len(c.compress(data[-RIVAL_BYTES:])) if j != k else 1 << 30 for j, c in enumerate(self._by)]
+            self._rival.append(size.index(min(size)))
 
     def sizes(self, text: str) -> list[int]:
         data = text.encode("utf-8", "replace")
         return [len(c.compress(data)) for c in self._by]
 
+    def likely_sizes(self, text: str, words: list[str], before: int | None) -> list[int]:
+        """sizes(), with the worst size tried in the place of those that need not be tried."""
+        votes = [0] * len(self._by)
+        for w in words:
+            for k in self._speaks.get(w, ()):
+                votes[k] += 1
+        first = votes.index(max(votes))
+        tried = {first, self._rival[first]}
+        if before is not None:
+            tried |= {before, self._rival[before]}
+        votes[first] = -1
+        tried.add(votes.index(max(votes)))
+        data = text.encode("utf-8", "replace")
+        got = {k: len(self._by[k].compress(data)) for k in tried}
+        best, second = sorted(got.values())[:2]
+        if second - best < SURE_MARGIN * second:
+            return [got[k] if k in got else len(c.compress(data)) for k, c in enumerate(self._by)]
+        worst = max(got.values())
+        return [got.get(k, worst) for k in range(len(self._by))]
+
     def runs(self, text: str) -> list[tuple]:
         """(start, end, sentences, letters, language or None, confidence) of every run of sentences.
 
         Stretches with fewer than MIN_WORDS words belong to the run before (or the first run).
         """
-        spans, units = sentences(text), []
+        spans, units, before = sentences(text), [], None
         for a, b in spans:
             s = plain(text[a:b])
-            words = _WORD.findall(s)
-            if len(words) >= MIN_WORDS and sum(map(len, words)) * 2 >= len(s.replace(" ", "")):
-                units.append((a, b, sum(map(len, words)), self.sizes(s)))
+            got = self._kept.get((s, before))
+            if got is None:
+                words = _WORD.findall(s)
+                letters = sum(map(len, words))
+                got = (letters, self.likely_sizes(s, words, before)) if len(words) >= MIN_WORDS and letters * 2 >= len(s.replace(" ", "")) else (letters, None)
+                if len(self._kept) >= KEPT_SENTENCES:
+                    self._kept.clear()
+                self._kept[s, before] = got
+            if got[1] is not None:
+                units.append((a, b, *got))
+                before = got[1].index(min(got[1]))
         if not units:
             return []
-        cost = np.array([u[3] for u in units], float)
-        best, back = cost[0].copy(), []
-        for row in cost[1:]:
-            k = int(best.argmin())
-            change = best[k] + CHANGE_BYTES < best
-            back.append(np.where(change, k, np.arange(len(best))))
-            best = np.where(change, best[k] + CHANGE_BYTES, best) + row
-        path = [int(best.argmin())]
-        for step in back[::-1]:
-            path.append(int(step[path[-1]]))
-        path.reverse()
+        firsts = [u[3].index(min(u[3])) for u in units]
+        path = firsts
+        if any(k != firsts[0] for k in firsts):
+            path = self._path(np.array([u[3] for u in units], float))
         out, i = [], 0
         while i < len(path):
             j = i
             while j < len(path) and path[j] == path[i]:
                 j += 1
-            total = cost[i:j].sum(0)
-            second = np.partition(total, 1)[1]
-            margin = float((second - total[path[i]]) / second)
+            total = [sum(x) for x in zip(*(u[3] for u in units[i:j]))] if j - i > 1 else units[i][3]
+            second = sorted(total)[1]
+            margin = (second - total[path[i]]) / second
             lang = self.langs[path[i]] if margin >= MIN_MARGIN else None
             end = units[j][0] if j < len(units) else len(text)
-            out.append((units[i][0] if i else 0, end, j - i, sum(u[2] for u in units[i:j]), lang, margin))
+            out.append((units[i][0] if i else 0, end, j - i, sum(u[2] for u in units[i:j]), lang, float(margin)))
             i = j
         return out
 
+    @staticmethod
+    def _path(cost: np.ndarray) -> list[int]:
+        """The language of each sentence for the least sum of sizes and charges."""
+        best, back = cost[0].copy(), []
+        for row in cost[1:]:
+            k = int(best.argmin())
+            change = best[k] + CHANGE_BYTES < best
+            back.append(np.where(change, k, np.arange(len(best))))
+            best = np.where(change, best[k] + CHANGE_BYTES, best) + row
+        path = [int(best.argmin())]
+        for step in back[::-1]:
+            path.append(int(step[path[-1]]))
+        return path[::-1]
+
 
 def latest_docs(docs: DataFrame, slug: str = "slug", lang: str = "lang", at: str = "created_at") -> DataFrame:
     """(doc, named): the language named by the row with the latest time; of equal times the greater label holds."""

@@ -52,3 +52,14 @@ def test_empty_tables(spark):
     docs, chunks = tables(spark)
     d, p = lg.languages(docs.where("false"), chunks.where("false"))
     assert d.count() == 0 and p.count() == 0
+
+
+def test_likely_dictionaries_give_what_all_give():
+    samples = {"en": [EN.lower()] * 3, "de": [DE.lower()] * 3, "fr": [FR.lower()] * 3}
+    model = lg.Classifier(lg.dictionaries(samples))
+    text = " ".join([EN, DE, EN, FR, "Xyz abc qrs tuv. ", DE])
+    got = model.runs(text)
+    model.likely_sizes = lambda s, words, before: model.sizes(s)
+    model._kept.clear()
+    want = model.runs(text)
+    assert [r[:5] for r in got] == [r[:5] for r in want] and {r[4] for r in got} >= {"en", "de", "fr"}
