@@ -103,7 +103,8 @@ def _cuts_udf(limit: int, overlap: int):
     def cuts(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: None if t is None else [x for c in cut_positions(t, limit, overlap) for x in c])
 
-    return cuts
+    # so that the plan computes it once, not for each place that reads its column
+    return cuts.asNondeterministic()
 
 
 def split_oversized(items: DataFrame, text: str = "text", label: str | Column | None = None, limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
