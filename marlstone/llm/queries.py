@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -79,6 +81,24 @@ select distinct item_kind, item_id from (
 ) where length(trim(text, ' ' || chr(9) || chr(10) || chr(13))) > 2000
 """
 
+
+
+def p3_rebuilt(spark: SparkSession, d: str) -> DataFrame:
+    """What pieces must keep, for every item: put together without their overlaps they give the trimmed text, none is over the limit, and each repeats the set amount of the one before."""
+    pieces = p3_pieces(spark, d).distinct()
+    overlap, length = splitter.OVERLAP, F.length("piece_text")
+    own = F.when(F.col("piece") == 0, F.col("piece_text")).otherwise(F.expr(f"substring(piece_text, {overlap + 1})"))
+    wrong = (length > splitter.LIMIT) | ((F.col("piece") > 0) & (length != F.col("piece_end") - F.col("piece_start") + overlap))
+    parts = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("piece", own.alias("t")))), lambda x: x["t"]), "")
+    return pieces.groupBy("item_kind", "item_id").agg(F.md5(parts).alias("text_md5"), F.count_if(wrong).alias("wrong"))
+
+
+_P3_REBUILT = """
+select item_kind, item_id, md5(t) as text_md5, 0::bigint as wrong from (
+  select distinct item_kind, item_id, trim(text, ' ' || chr(9) || chr(10) || chr(13)) as t from (
+    select 'section' as item_kind, section_id as item_id, text from sections union all select 'chunk_spec', spec_id, text from chunk_specs)) where t <> ''
+"""
+
 # --- 4: most similar vectors -------------------------------------------------------------------------
 
 
@@ -127,6 +147,11 @@ def p8_overlaps(spark: SparkSession, d: str) -> DataFrame:
     return leakage.find_leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
 
+def p8_measured(spark: SparkSession, d: str) -> DataFrame:
+    """The overlaps' figures without the place, which a tie may leave open."""
+    return p8_overlaps(spark, d).select("doc_id", "item_id", "longest_run", "tolerant_score").distinct()
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return p8_overlaps(spark, d).where(F.col("longest_run") >= leakage.SPAN).select("doc_id", "item_id").distinct()
 
@@ -143,9 +168,74 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return rows.where((F.col("n_chars") >= quality.MIN_CHARS) & (F.col("text_type") != "prose")).select("doc_id", F.col("text_type").alias("kind")).distinct()
 
 
-QUERIES = {"p1_found": p1_found, "p1_terms": p1_terms, "p2_found": p2_found, "p2_documents": p2_documents, "p2_passages": p2_passages, "p3_found": p3_found, "p3_pieces": p3_pieces, "p4_found": p4_found, "p4_neighbours": p4_neighbours, "p5_found": p5_found, "p5_groups": p5_groups, "p6_found": p6_found, "p6_repaired": p6_repaired, "p7_ids": p7_ids, "p8_found": p8_found, "p8_overlaps": p8_overlaps, "p9_found": p9_found, "p9_statistics": p9_statistics}
+# --- oracles by brute force: every pair, every run --------------------------------------------------
+
+_P4 = """
+with v as (select distinct chunk_id, cast(embedding as double[]) as e from vec_chunks
+  where len(embedding) = 64 and len(list_filter(embedding, lambda x: x is null or isnan(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0 and chunk_id in (select chunk_id from chunks)),
+s as (select a.chunk_id as a, b.chunk_id as b, round(list_cosine_similarity(a.e, b.e), 6) as s from v a join v b on a.chunk_id <> b.chunk_id),
+r as (select a, b, s from s qualify row_number() over (partition by a order by s desc, b) <= 5)
+"""
+
+_P5 = """
+with t as (select chunk_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') as w from (select distinct chunk_id, text from chunks where text is not null)),
+g as (select distinct chunk_id, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) as g from t where len(w) >= 20),
+n as (select chunk_id, count(*) as n from g group by 1),
+c as (select a.chunk_id as a, b.chunk_id as b, count(*) as c from g a join g b using (g) where a.chunk_id < b.chunk_id group by all)
+select c.a as chunk_id_a, c.b as chunk_id_b from c join n x on x.chunk_id = c.a join n y on y.chunk_id = c.b where c >= 0.6 * (x.n + y.n - c) - 1e-9
+"""
+
+
+def _folded(text: str) -> str:
+    """SQL for NFKC of a text, as far as signs of the basic plane go, whose forms are of the standard's tables; without soft hyphens and zero-width spaces."""
+    single, several = {}, {}
+    for code in range(0x80, 0x10000):
+        sign = chr(code)
+        if not 0xAC00 <= code < 0xD7A4 and not 0xD800 <= code < 0xE000 and (form := unicodedata.normalize("NFKC", sign)) != sign:
+            (single if len(form) == 1 else several)[sign] = form
+    quoted = lambda t: "'" + t.replace("'", "''") + "'"
+    out = f"translate(nfc_normalize({text}), {quoted(''.join(single))}, {quoted(''.join(single.values()))})"
+    for sign, form in several.items():
+        if code_block(sign):
+            out = f"replace({out}, {quoted(sign)}, {quoted(form)})"
+    return f"replace(replace({out}, chr(173), ''), chr(8203), '')"
+
+
+def code_block(sign: str) -> bool:
+    """The blocks whose signs with several letters are put in one by one: Latin-1, letterlike signs, number forms, punctuation and presentation forms of Latin."""
+    return any(a <= ord(sign) <= b for a, b in ((0x80, 0x17F), (0x2000, 0x206F), (0x2100, 0x218F), (0xFB00, 0xFB06)))
+
+
+_WORDED = "select {id} as id, regexp_extract_all(lower({text}), '[\\p{{L}}\\p{{N}}]+') as w from {table} where text is not null"
+_P8_WORDS = f"""dw as ({_WORDED.format(id='doc_id', text=_folded('text'), table='documents')}), iw as ({_WORDED.format(id='item_id', text=_folded('text'), table='eval_items')}),
+dp as (select id as doc_id, i, w[i] as w, list_slice(w, i, i + 12) as s from dw, unnest(range(1, len(w) + 1)) as u(i)),
+ip as (select id as item_id, i, w[i] as w, list_slice(w, i, i + 12) as s from iw, unnest(range(1, len(w) + 1)) as u(i))"""
+_P8 = f"with {_P8_WORDS} select distinct doc_id, item_id from dp join ip using (s) where len(s) = 13"
+
+# the masks, written out: every pair of places whose words agree where a mask has ones; then whole diagonals are compared
+_P8_MASKS = ("1101100101011", "1110010011011", "1011011000111")
+_P8_SEEDS = " union ".join(
+    "select doc_id, item_id, d.i - t.i as diagonal from dp d join ip t on len(d.s) = 13 and len(t.s) = 13 and " + " and ".join(f"d.s[{k + 1}] = t.s[{k + 1}]" for k, x in enumerate(m) if x == "1") for m in _P8_MASKS
+)
+_P8_OVERLAPS = f"""with {_P8_WORDS}, h as ({_P8_SEEDS}),
+c as (select h.doc_id, h.item_id, diagonal, d.i, d.w = t.w as same from h join dp d on d.doc_id = h.doc_id join ip t on t.item_id = h.item_id and t.i = d.i - diagonal),
+r as (select *, sum(case when same then 0 else 1 end) over k as run_no, sum(case when same then 1 else -2 end) over k as total from c window k as (partition by doc_id, item_id, diagonal order by i)),
+e as (select doc_id, item_id, diagonal, max(total - least(low, 0)) as score from (select *, coalesce(min(total) over (partition by doc_id, item_id, diagonal order by i rows between unbounded preceding and 1 preceding), 0) as low from r) group by all),
+l as (select doc_id, item_id, diagonal, count(*) as n from r where same group by doc_id, item_id, diagonal, run_no)
+select doc_id, item_id, longest_run, tolerant_score from (
+  select doc_id, item_id, cast(max(n) as integer) as longest_run from l group by all) join (select doc_id, item_id, cast(max(greatest(score, 0)) as integer) as tolerant_score from e group by all) using (doc_id, item_id)
+where longest_run >= 13 or tolerant_score >= 13
+"""
+
+QUERIES = {"p1_found": p1_found, "p1_terms": p1_terms, "p2_found": p2_found, "p2_documents": p2_documents, "p2_passages": p2_passages, "p3_found": p3_found, "p3_pieces": p3_pieces, "p3_rebuilt": p3_rebuilt, "p4_found": p4_found, "p4_neighbours": p4_neighbours, "p5_found": p5_found, "p5_groups": p5_groups, "p6_found": p6_found, "p6_repaired": p6_repaired, "p7_ids": p7_ids, "p8_found": p8_found, "p8_overlaps": p8_overlaps, "p8_measured": p8_measured, "p9_found": p9_found, "p9_statistics": p9_statistics}
 SQL = {
     "p1_found": f"select origin, term, mark from ({_P1}) where mark is not null",
     "p1_terms": _P1,
     "p3_found": _P3,
+    "p3_rebuilt": _P3_REBUILT,
+    "p4_neighbours": f"{_P4} select a as id, b as neighbour, s as similarity from r",
+    "p4_found": f"{_P4} select distinct least(a, b) as chunk_id_a, greatest(a, b) as chunk_id_b from r",
+    "p5_found": _P5,
+    "p8_found": _P8,
+    "p8_measured": _P8_OVERLAPS,
 }
