@@ -186,3 +186,33 @@ def test_edges_and_candidates(spark):
     assert [(c.url, c.priority) for c in biblio.pdf_candidates(r).orderBy("priority").collect()] == [("x", 1), ("https://arxiv.org/pdf/2001.1", 2), ("y", 3)]
     b = spark.createDataFrame([(b"%PDF-" + b"x" * 1100,), (b"%PDF-",), (b"x" * 2000,)], "c binary")
     assert [x.ok for x in b.select(biblio.looks_like_pdf(F.col("c")).alias("ok")).collect()] == [True, False, False]
+
+
+def test_more_addresses(spark):
+    r = spark.createDataFrame([("d", None, None, None, "s", "2001.2", "PMC7")], "doi string, best_pdf string, arxiv string, other_pdfs array<string>, s2_pdf string, s2_arxiv string, pmcid string")
+    got = [c.url for c in biblio.pdf_candidates(r).orderBy("priority").collect()]
+    assert got == ["s", "https://arxiv.org/pdf/2001.2", "https://europepmc.org/articles/PMC7?pdf=render", "https://pmc.ncbi.nlm.nih.gov/articles/PMC7/pdf/"]
+
+
+def test_cited_authors(spark):
+    for author, want in (("Z", ["Z"]), (None, []), (["A", {"family": "B", "given": "x"}, {"name": "C", "family": "D"}, {}], ["A", "B", "C", ""])):
+        assert paper(spark, biblio.crossref_reference, {"author": author} if author else {}).authors == want
+
+
+def test_search_falls_back(spark):
+    one = json.dumps({"data": [{"paperId": f"p{i}", "title": "T"} for i in range(9)], "total": 70})
+    two = json.dumps({"message": {"items": [{"DOI": "10.1/x", "title": ["U"]}]}})
+    df = spark.createDataFrame([("a", one, two), ("b", None, two), ("c", None, None)], "query string, first string, second string")
+    rows = biblio.search_results(df, 5).collect()
+    assert [(r.query, r.source, r.total, r.rank, r.paperId) for r in rows if r.query == "a"] == [("a", "semantic_scholar", 70, i + 1, f"p{i}") for i in range(5)]
+    assert [(r.query, r.source, r.total, r.title, r.url) for r in rows if r.query != "a"] == [("b", "crossref", 1, "U", "https://doi.org/10.1/x")]
+    assert biblio.search_results(df, 99).where("query = 'a'").count() == 9
+
+
+def test_links_fall_back(spark):
+    one = json.dumps({"data": [{"citingPaper": {"paperId": "q"}}, {"citedPaper": {"paperId": "r"}}]})
+    two = json.dumps({"message": {"reference": [{"DOI": "10.1/y", "author": "N"}, {"unstructured": "u"}]}})
+    df = spark.createDataFrame([("x", one, two), ("10.1000/z", None, two), ("no doi", None, two)], "paper string, first string, second string")
+    assert [(r.paper, r.source, r.rank, r.paperId) for r in biblio.linked_papers(df).collect()] == [("x", "semantic_scholar", 1, "q"), ("x", "semantic_scholar", 2, "r")]
+    got = [(r.paper, r.source, r.doi, r.title) for r in biblio.linked_papers(df, "references", 9).where("paper <> 'x'").orderBy("rank").collect()]
+    assert got == [("10.1000/z", "crossref", "10.1/y", None), ("10.1000/z", "crossref", None, "u")]
