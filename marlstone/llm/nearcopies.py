@@ -10,8 +10,8 @@ sampled, so no link is lost.
 
 The order (by frequency) comes from a table of upper bounds of the shingles' counts, which has about one counter for four shingles, up to a
 bound. Any consistent order is exact; the table only decides how much is compared. A shingle that it shows to be in one class only
-gets no row at all. Tiles are cut by the real number of rows while they stream by, so no task holds a hot shingle's rows, and no row is
-repeated for a shingle of which the table says too much.
+gets no row at all. What meets on a shingle is moved as packed arrays, in buckets of bounded size. Tiles are cut by the real number of rows, a shingle that may
+have very many is dealt into several buckets, so no task holds all of a hot shingle's rows, and no row is repeated for a shingle of which the table says too much.
 """
 
 from __future__ import annotations
@@ -31,8 +31,9 @@ from marlstone.session import durable
 SHINGLE, MIN_WORDS, SIMILARITY = 3, 20, 0.6
 MIN_BITS, MAX_BITS, BLOCK_BITS = 22, 25, 12
 TILE_ROWS, PAIRS_AT_ONCE = 4096, 1 << 21
-#: rows of a shingle that may stream through one task
-STREAM_ROWS = 1 << 20
+#: rows of a shingle, and of a bucket of shingles, that one task holds at a time, about
+STREAM_ROWS, BUCKET_ROWS = 1 << 20, 1 << 18
+ENTRY = np.dtype([("shingle", np.int64), ("id", np.int64), ("bits", np.uint64, 4), ("n", np.int32), ("salt", np.int32), ("salts", np.int32)])
 KEPT_WORDS = 1 << 20
 ROWS_AT_ONCE = 1 << 11
 _WORD = re.compile(r"[^\W_]+")
@@ -133,8 +134,13 @@ def frequency_table(classes: DataFrame) -> np.ndarray:
     return out.ravel()
 
 
-def prefixes(classes: DataFrame, table: np.ndarray, similarity: float) -> DataFrame:
-    """(shingle, salt, salts, n, id, bits): one row per prefix shingle of a class, without those that no other class can have."""
+def bucket_count(entries: float) -> int:
+    return max(1, math.ceil(entries / BUCKET_ROWS))
+
+
+def prefixes(classes: DataFrame, table: np.ndarray, similarity: float, buckets: int) -> DataFrame:
+    """(bucket, rows): the prefix shingles of the classes, without those that no other class can have, packed by bucket: for each entry the
+    shingle, its salt, the class's size, id and bitmap. A bucket has all entries of a shingle and salt."""
     shipped = classes.sparkSession.sparkContext.broadcast(table)
     top, stream = int(len(table)).bit_length() - 1, STREAM_ROWS
 
@@ -156,23 +162,21 @@ def prefixes(classes: DataFrame, table: np.ndarray, similarity: float) -> DataFr
             rank = np.arange(len(values)) - offsets[owner]
             take = (rank < (size - np.ceil(similarity * size - 1e-9).astype(np.int64) + 1)[owner]) & (log[order] > 8)
             who, at = owner[take], order[take]
-            # a shingle that may have very many rows streams through several tasks
-            salts = np.maximum(1, np.ceil(_count(log[at]) / stream)).astype(np.int64)
-            salt = (_mix(batch.column(0).to_numpy()[who].view(np.uint64)) % salts.astype(np.uint64)).astype(np.int32)
-            raw = bits.view(np.uint8).reshape(len(size), 32)[who]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(values[at]),
-                    pa.array(salt),
-                    pa.array(salts.astype(np.int32)),
-                    pa.array(size[who].astype(np.int32)),
-                    batch.column(0).take(pa.array(who)),
-                    pa.Array.from_buffers(pa.binary(32), len(who), [None, pa.py_buffer(np.ascontiguousarray(raw))]).cast(pa.binary()),
-                ],
-                ["shingle", "salt", "salts", "n", "id", "bits"],
-            )
+            if not len(who):
+                continue
+            ids = batch.column(0).to_numpy()[who]
+            # a shingle that may have very many rows is dealt into several buckets
+            salts = np.maximum(1, np.ceil(_count(log[at]) / stream)).astype(np.uint64)
+            salt = _mix(ids.view(np.uint64)) % salts
+            entry = np.zeros(len(who), ENTRY)
+            entry["shingle"], entry["salt"], entry["salts"], entry["n"], entry["id"], entry["bits"] = values[at], salt, np.minimum(salts, 1 << 15), size[who], ids, bits[who]
+            bucket = (_mix(mixed[at] + salt) % np.uint64(buckets)).astype(np.int64)
+            laid = np.argsort(bucket, kind="stable")
+            first = np.flatnonzero(np.append(True, np.diff(bucket[laid]) > 0))
+            entry, ends = entry[laid], np.append(first[1:], len(laid))
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[laid][first], pa.int64()), pa.array([entry[i:j].tobytes() for i, j in zip(first, ends)], pa.binary())], ["bucket", "rows"])
 
-    return classes.select("id", "set").mapInArrow(run, "shingle bigint, salt int, salts int, n int, id bigint, bits binary")
+    return classes.select("id", "set").mapInArrow(run, "bucket bigint, rows binary")
 
 
 class Rows:
@@ -220,61 +224,43 @@ def within(rows: Rows, group: np.ndarray, similarity: float) -> Iterator[pa.Reco
 _TILED = "a bigint, b bigint, shingle bigint, low int, high int, tile binary"
 
 
-def tiled(entries: DataFrame, similarity: float, tile_rows: int) -> DataFrame:
+def tiled(packed: DataFrame, similarity: float, tile_rows: int) -> DataFrame:
     """Pairs (a, b) of shingles whose rows fill one tile at most, and the tiles (shingle, low, high, tile) of all others."""
-    none = {c: pa.nulls for c in ("a", "b", "shingle", "low", "high", "tile")}
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("shingle", pa.int64()), ("low", pa.int32()), ("high", pa.int32()), ("tile", pa.binary())])
 
     def filled(n: int, **columns: pa.Array) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([columns.get(f.name, none[f.name](n, f.type)) for f in schema], schema=schema)
-
-    def rows_of(t: pa.Table) -> Rows:
-        return Rows(t.column("n").to_numpy().astype(np.int64), t.column("id").to_numpy(), np.frombuffer(b"".join(t.column("bits").to_pylist()), np.uint64))
-
-    def tiles(t: pa.Table) -> Iterator[pa.RecordBatch]:
-        """The rows of one shingle (and salt) as tiles."""
-        for k in range(0, t.num_rows, tile_rows):
-            part = rows_of(t.slice(k, tile_rows))
-            yield filled(1, shingle=t.column("shingle").combine_chunks().slice(0, 1), low=pa.array([int(part.n[0])], pa.int32()), high=pa.array([int(part.n[-1])], pa.int32()), tile=pa.array([part.pack()], pa.binary()))
-
-    def whole(t: pa.Table, went_on: bool) -> Iterator[pa.RecordBatch]:
-        """Rows of whole shingles; went_on: tiles of the first one were given before."""
-        shingle, salt, salts = (t.column(c).to_numpy() for c in ("shingle", "salt", "salts"))
-        new = np.append(True, (shingle[1:] != shingle[:-1]) | (salt[1:] != salt[:-1]))
-        start = np.flatnonzero(new)
-        size = np.diff(np.append(start, len(shingle)))
-        large = (size > tile_rows) | (salts[start] > 1)
-        large[0] |= went_on
+        return pa.RecordBatch.from_arrays([columns[f.name] if f.name in columns else pa.nulls(n, f.type) for f in schema], schema=schema)
+
+    def rows_of(e: np.ndarray) -> Rows:
+        return Rows(e["n"].astype(np.int64), np.ascontiguousarray(e["id"]), np.ascontiguousarray(e["bits"]))
+
+    def bucket(e: np.ndarray) -> Iterator[pa.RecordBatch]:
+        e = e[np.lexsort((e["n"], e["salt"], e["shingle"]))]
+        start = np.flatnonzero(np.append(True, (e["shingle"][1:] != e["shingle"][:-1]) | (e["salt"][1:] != e["salt"][:-1])))
+        size = np.diff(np.append(start, len(e)))
+        large = (size > tile_rows) | (e["salts"][start] > 1)
         for g in np.flatnonzero(large):
-            yield from tiles(t.slice(start[g], size[g]))
+            for k in range(start[g], start[g] + size[g], tile_rows):
+                part = rows_of(e[k : min(k + tile_rows, start[g] + size[g])])
+                yield filled(1, shingle=pa.array([int(e["shingle"][k])], pa.int64()), low=pa.array([int(part.n[0])], pa.int32()), high=pa.array([int(part.n[-1])], pa.int32()), tile=pa.array([part.pack()], pa.binary()))
         keep = np.repeat(~large & (size > 1), size)
         if keep.any():
-            for pairs in within(rows_of(t.filter(pa.array(keep))), np.repeat(np.arange(len(size)), size)[keep], similarity):
+            for pairs in within(rows_of(e[keep]), np.repeat(np.arange(len(size)), size)[keep], similarity):
                 yield filled(pairs.num_rows, a=pairs.column(0), b=pairs.column(1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest, went_on = None, False
+        own, parts = None, []
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            table = pa.Table.from_batches([batch])
-            table = pa.concat_tables([rest, table]) if rest is not None else table
-            shingle, salt = table.column("shingle").to_numpy(), table.column("salt").to_numpy()
-            other = np.flatnonzero((shingle != shingle[-1]) | (salt != salt[-1]))
-            cut = int(other[-1]) + 1 if len(other) else 0  # the last shingle may go on in the next batch
-            if cut:
-                yield from whole(table.slice(0, cut).combine_chunks(), went_on)
-                went_on = False
-            rest = table.slice(cut)
-            full = rest.num_rows // tile_rows * tile_rows
-            if full:  # what fills tiles need not be kept
-                yield from tiles(rest.slice(0, full).combine_chunks())
-                rest, went_on = rest.slice(full), True
-        if rest is not None and rest.num_rows:
-            yield from whole(rest.combine_chunks(), went_on)
-
-    laid = entries.repartition("shingle", "salt").sortWithinPartitions("shingle", "salt", "n")
-    return laid.mapInArrow(run, _TILED)
+            for k, rows in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if k != own and parts:
+                    yield from bucket(np.frombuffer(b"".join(parts), ENTRY))
+                    parts = []
+                own = k
+                parts.append(rows)
+        if parts:
+            yield from bucket(np.frombuffer(b"".join(parts), ENTRY))
+
+    return packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, _TILED)
 
 
 def tile_pairs(tiles: DataFrame, similarity: float) -> DataFrame:
@@ -300,9 +286,9 @@ def tile_pairs(tiles: DataFrame, similarity: float) -> DataFrame:
     return both.select("i", "j", "x", "y").mapInArrow(run, "a bigint, b bigint")
 
 
-def candidates(entries: DataFrame, similarity: float) -> DataFrame:
+def candidates(packed: DataFrame, similarity: float) -> DataFrame:
     """(a, b), a < b: class pairs that the tiles leave possible, distinct."""
-    first = durable(tiled(entries, similarity, TILE_ROWS), "tiled")
+    first = durable(tiled(packed, similarity, TILE_ROWS), "tiled")
     pairs, tiles = first.where("a is not null").select("a", "b"), first.where("tile is not null").select("shingle", "low", "high", "tile")
     return pairs.unionByName(tile_pairs(tiles, similarity)).distinct()
 
@@ -344,7 +330,9 @@ def near_copies(records: DataFrame, record: str = "chunk_id", text: str = "text"
     membership = durable(members.join(reps, ["h1", "h2"]).select("id", "rep", "h1", "h2"), "members")
     first = membership.where("id = rep").select("id", "h1", "h2")
     classes = durable(sets.dropDuplicates(["id", "h1", "h2"]).join(first, ["id", "h1", "h2"], "left_semi").select("id", "n", "set"), "classes")
-    met = candidates(prefixes(classes, frequency_table(classes), similarity), similarity)
+    # prefixes have this share of the shingles; a bucket is what one task holds at a time
+    buckets = bucket_count((1 - similarity) * (classes.agg(F.sum("n").alias("n")).first()["n"] or 0))
+    met = candidates(prefixes(classes, frequency_table(classes), similarity, buckets), similarity)
     left = classes.select(F.col("id").alias("a"), F.col("set").alias("x"))
     right = classes.select(F.col("id").alias("b"), F.col("set").alias("y"))
     met = intersected(met.join(left, "a").join(right, "b"))

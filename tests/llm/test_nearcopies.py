@@ -53,7 +53,7 @@ def test_hot_shingles_stream_through_several_tasks(spark, monkeypatch, stream):
     rows = variants(5, n=9, copies=4)
     assert run(spark, rows)[2] == brute(rows)
     sets = nc.shingled(spark.createDataFrame(rows, "chunk_id bigint, text string"), "chunk_id", "text", 3, 20).dropDuplicates(["h1", "h2"])
-    laid = nc.tiled(nc.prefixes(sets, nc.frequency_table(sets), 0.6), 0.6, 3)
+    laid = nc.tiled(nc.prefixes(sets, nc.frequency_table(sets), 0.6, 7), 0.6, 3)
     tiles = [nc.Rows.unpack(bytes(r.tile)) for r in laid.where("tile is not null").collect()]
     assert tiles and max(len(t.ids) for t in tiles) <= 3 and all((t.n[1:] >= t.n[:-1]).all() for t in tiles)
 
@@ -61,7 +61,7 @@ def test_hot_shingles_stream_through_several_tasks(spark, monkeypatch, stream):
 def test_shingles_of_one_class_have_no_row(spark):
     rows = [(1, " ".join(WORDS[:30])), (2, " ".join(w + "q" for w in WORDS[:30]))]
     sets = nc.shingled(spark.createDataFrame(rows, "chunk_id bigint, text string"), "chunk_id", "text", 3, 20)
-    assert nc.prefixes(sets, nc.frequency_table(sets), 0.6).count() == 0
+    assert nc.prefixes(sets, nc.frequency_table(sets), 0.6, 3).count() == 0
 
 
 def test_dirty_rows(spark):
