@@ -26,13 +26,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.session import durable
+from marlstone.session import durable, sent_if_small
 
 SHINGLE, MIN_WORDS, SIMILARITY = 3, 20, 0.6
 MIN_BITS, MAX_BITS, BLOCK_BITS = 22, 25, 12
 TILE_ROWS, PAIRS_AT_ONCE = 4096, 1 << 21
 #: rows of a shingle, and of a bucket of shingles, that one task holds at a time, about
 STREAM_ROWS, BUCKET_ROWS = 1 << 20, 1 << 18
+SENT_COPIES = 300_000
 ENTRY = np.dtype([("shingle", np.int64), ("id", np.int64), ("bits", np.uint64, 4), ("n", np.int32), ("salt", np.int32), ("salts", np.int32)])
 KEPT_WORDS = 1 << 20
 ROWS_AT_ONCE = 1 << 11
@@ -324,20 +325,26 @@ def near_copies(records: DataFrame, record: str = "chunk_id", text: str = "text"
     The representative of a class is its smallest id. Records with null id or text, or under min_words words, are in
     no class. Repeated rows count once; an id with several texts is in several classes.
     """
-    sets = durable(shingled(records, record, text, shingle, min_words), "shingles")
-    members = sets.select("id", "h1", "h2").distinct()
-    reps = members.groupBy("h1", "h2").agg(F.min("id").alias("rep"))
-    membership = durable(members.join(reps, ["h1", "h2"]).select("id", "rep", "h1", "h2"), "members")
-    first = membership.where("id = rep").select("id", "h1", "h2")
-    classes = durable(sets.dropDuplicates(["id", "h1", "h2"]).join(first, ["id", "h1", "h2"], "left_semi").select("id", "n", "set"), "classes")
+    sets = durable(shingled(records, record, text, shingle, min_words).withColumn("_row", F.monotonically_increasing_id()), "shingles")
+    rows = sets.select("id", "h1", "h2", "_row")
+    reps = rows.groupBy("h1", "h2").agg(F.min(F.struct("id", "_row")).alias("_m")).select("h1", "h2", F.col("_m.id").alias("rep"), F.col("_m._row").alias("_kept"))
+    known = durable(rows.join(reps, ["h1", "h2"]).select("id", "rep", "_row", "_kept"), "members")
+    membership = known.select("id", "rep").distinct()
+    # one row of each class: the copies' rows are left out, and sets are moved for it only where there are too many copies to be sent
+    copies, small = sent_if_small(known.where("_row <> _kept").select("_row"), SENT_COPIES, "copies")
+    classes = sets.join(copies, "_row", "left_anti").select("id", "n", "set")
+    classes = classes if small else durable(classes, "classes")
     # prefixes have this share of the shingles; a bucket is what one task holds at a time
     buckets = bucket_count((1 - similarity) * (classes.agg(F.sum("n").alias("n")).first()["n"] or 0))
-    met = candidates(prefixes(classes, frequency_table(classes), similarity, buckets), similarity)
-    left = classes.select(F.col("id").alias("a"), F.col("set").alias("x"))
-    right = classes.select(F.col("id").alias("b"), F.col("set").alias("y"))
+    met = durable(candidates(prefixes(classes, frequency_table(classes), similarity, buckets), similarity), "candidates")
+    # only the sets of classes that are in a pair are moved
+    paired, _ = sent_if_small(met.select(F.col("a").alias("id")).unionByName(met.select(F.col("b").alias("id"))).distinct(), SENT_COPIES, "paired")
+    compared = classes.join(paired, "id", "left_semi")
+    left = compared.select(F.col("id").alias("a"), F.col("set").alias("x"))
+    right = compared.select(F.col("id").alias("b"), F.col("set").alias("y"))
     met = intersected(met.join(left, "a").join(right, "b"))
     links = met.where(F.col("_c") >= F.lit(similarity) * F.col("_u") - 1e-9).groupBy("a", "b").agg(F.max(F.col("_c") / F.col("_u")).alias("similarity"))
-    return durable(links, "links"), membership.select("id", "rep").distinct()
+    return durable(links, "links"), membership
 
 
 def all_pairs(links: DataFrame, members: DataFrame) -> DataFrame:
