@@ -46,3 +46,10 @@ def test_sparse_leg_ranks_no_more_than_k_a_query_and_task(spark, monkeypatch):
     a = spark.createDataFrame([(q, "t", 1.0) for q in range(30)], "query_id int, term string, qw double")
     rows, tasks = pairs_sorted(monkeypatch, sparse, lambda: sparse.sparse_top_k(s, a, 0, 2, prune=False))
     assert rows <= 30 * 2 * tasks < 30 * 400
+
+
+def test_bm25_ranks_no_more_than_k_a_query_and_task(spark, monkeypatch):
+    chunks = spark.createDataFrame([(c, "fox " + "word " * (c % 7)) for c in range(400)], "chunk_id bigint, text string")
+    q = spark.createDataFrame([(i, "fox") for i in range(30)], "query_id int, text string")
+    rows, tasks = pairs_sorted(monkeypatch, lexical, lambda: lexical.Index(chunks).search(q, 2))
+    assert rows <= 30 * 2 * tasks < 30 * 400
