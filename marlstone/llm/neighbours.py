@@ -7,12 +7,13 @@ degrees of freedom over the draw of the directions, and along c of them one with
 A kd-tree over the projections, fitted on a bounded sample of rows, assigns every row to a cell. A vector first verifies its nearest
 projected neighbours in its own cell exactly, which gives an upper bound r of the distance of its k-th neighbour; then it goes on with
 the next ones in the projection and stops where P(chi2 >= projected distance^2 dim / r^2) < MISS_POINT holds. The other cells are taken
-by the same test with MISS_CELL: a cell that lies t outside in c directions is visited only while P(chi2_c >= t^2 dim / r^2) > MISS_CELL. (r is
-also held to the distance that CAP_SHARE of PILOTS vectors have, whose neighbours are searched among all rows.) Similarities of what is
+by the same test with MISS_CELL: a cell that lies t outside in c directions is visited only while P(chi2_c >= t^2 dim / r^2) > MISS_CELL. At first r is
+also held to the distance that CAP_SHARE of PILOTS vectors have, whose neighbours are searched among all rows; vectors whose k-th neighbour then lies
+beyond that distance, or which have fewer than k, are searched again, with the distance of what they have found and no cap. Similarities of what is
 verified are computed in double precision from the vectors themselves.
 
-Plan: two shuffles of the vectors by cell, one of those that have further cells to visit, by these, and
-one of narrow result rows. Cells hold about CELL_ROWS rows: the sample follows the number of cells up to SAMPLE_MAX, and the rows of a
+Plan: two shuffles of the vectors, by cell and by groups of up to GROUP neighbouring cells, one of those that have further cells to visit, once for
+each group of these, and one of narrow result rows; the vectors by group once more for what is searched again. Cells hold about CELL_ROWS rows: the sample follows the number of cells up to SAMPLE_MAX, and the rows of a
 cell that holds more than twice as many are dealt into blocks, each of which is searched like a cell of its own. Of equal vectors only
 the k + 1 smallest ids enter the cells; the others take over their neighbours, so a vector that
 a third of all rows share is no hot cell. Equal vectors are found by their hashes, and only they are brought together.
@@ -35,7 +36,7 @@ DIRECTIONS, CELL_ROWS = 16, 12_000
 SAMPLE_MIN, SAMPLE_CELL, SAMPLE_MAX = 4096, 16, 1 << 20
 MISS_CELL, MISS_POINT, PILOTS, CAP_SHARE = 0.05, 0.005, 256, 0.97
 FIRST, FEW = 12, 2048
-SALTS = 16
+SALTS, GROUP, SENT_OPEN = 16, 16, 1 << 20
 SLACK = 4e-6
 
 
@@ -73,6 +74,7 @@ class ProjectionTree:
         self.blocks = np.where(leaf_rows > 2 * cell_rows, -(-leaf_rows // cell_rows), 1)
         self.first = np.concatenate(([0], np.cumsum(self.blocks)[:-1]))
         self.leaf_of = np.repeat(np.arange(len(self.blocks)), self.blocks)
+        self.group = min(GROUP, math.isqrt(len(self.leaf_of)))  # cells of a group; they are neighbours, as they follow one another in the tree
 
     def _split(self, node: int, y: np.ndarray) -> None:
         if node >= len(self.axis):
@@ -128,6 +130,15 @@ class ProjectionTree:
         return np.concatenate(out_row), np.concatenate(out_cell)
 
 
+def by_group(row: np.ndarray, cell: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, pa.ListArray]:
+    """Rows, groups and the lists of their cells, one for each row and group of `size` cells."""
+    order = np.lexsort((cell, row))
+    row, cell = row[order], cell[order].astype(np.int32)
+    group = cell // size
+    first = np.flatnonzero((np.diff(row, prepend=-1) != 0) | (np.diff(group, prepend=-1) != 0))
+    return row[first], group[first], pa.ListArray.from_arrays(pa.array(np.append(first, len(row)).astype(np.int32)), pa.array(cell))
+
+
 def chi2_quantile(p: float, c: int) -> float:
     """By bisection on the regularized incomplete gamma function."""
 
@@ -285,9 +296,9 @@ def nearest(vectors: DataFrame, records: DataFrame, dim: int = 64, k: int = K, r
         for b in batches:
             if b.num_rows:
                 cell = shipped.value.cells(_unit(_matrix(b.column(1), dim)).astype(np.float32), b.column(0).to_numpy())
-                yield pa.RecordBatch.from_arrays([pa.array(cell, pa.int32()), *b.columns], ["cell", "id", "vec"])
+                yield pa.RecordBatch.from_arrays([pa.array(cell // shipped.value.group, pa.int32()), pa.array(cell, pa.int32()), *b.columns], ["part", "cell", "id", "vec"])
 
-    placed = base.select("id", "vec").mapInArrow(place, "cell int, id bigint, vec array<float>")
+    placed = base.select("id", "vec").mapInArrow(place, "part int, cell int, id bigint, vec array<float>")
 
     nothing = pa.table({"id": pa.array([], pa.int64()), "neighbour": pa.array([], pa.int64()), "similarity": pa.array([], pa.float64())})
 
@@ -302,18 +313,20 @@ def nearest(vectors: DataFrame, records: DataFrame, dim: int = 64, k: int = K, r
         kth[count == k] = s[ends[1:][count == k] - 1]
         radius = np.minimum(np.sqrt(np.maximum(2 - 2 * kth, 0)) + 1e-3, shipped.value.cap)
         pr, pc = shipped.value.probes(x.astype(np.float32), radius, cell)
+        pr, pg, cells = by_group(pr, pc, shipped.value.group)
         n, m = len(ids), len(pr)
         offsets = pa.array(np.concatenate((ends, np.full(m, ends[-1]))).astype(np.int32))
         return pa.table({
-            "cell": pa.array(np.concatenate((np.full(n, cell), pc)).astype(np.int32)),
+            "part": pa.array(np.concatenate((np.full(n, cell // shipped.value.group), pg)).astype(np.int32)),
             "id": pa.array(np.concatenate((ids, ids[pr]))),
             "kth": pa.array(np.concatenate((kth, kth[pr]))),
             "neighbours": pa.ListArray.from_arrays(offsets, pa.array(ids[c])),
             "similarities": pa.ListArray.from_arrays(offsets, pa.array(s)),
+            "cells": pa.concat_arrays([pa.nulls(n, cells.type), cells]),
             "vec": pa.concat_arrays([pa.nulls(n, raw.type), raw.take(pa.array(pr))]) if m else pa.nulls(n, raw.type),
         })
 
-    def verify(points: pa.Table, asked: pa.Table) -> pa.Table:
+    def verified_in(points: pa.Table, asked: pa.Table, cap: float) -> pa.Table:
         if not asked.num_rows:
             return nothing
         near, vec = asked.column("neighbours").combine_chunks(), asked.column("vec").combine_chunks()
@@ -322,19 +335,54 @@ def nearest(vectors: DataFrame, records: DataFrame, dim: int = 64, k: int = K, r
         out_s = [asked.column("similarities").combine_chunks().flatten().to_numpy()]
         probe = np.flatnonzero(vec.is_valid().to_numpy(zero_copy_only=False))
         if len(probe) and points.num_rows:
-            q, p = ids[probe], points.column("id").to_numpy()
-            x, y = _unit(_matrix(vec.take(pa.array(probe)), dim)), _unit(_matrix(points.column("vec").combine_chunks(), dim))
-            radius = np.minimum(np.sqrt(np.maximum(2 - 2 * asked.column("kth").to_numpy()[probe], 0)) + 1e-3, 2.0)
-            r, c, s = best_in(x, q, y, p, k, shipped.value.axes, radius, shipped.value.cap)
-            out_id.append(q[r]), out_n.append(p[c]), out_s.append(s)
+            lists = asked.column("cells").combine_chunks().take(pa.array(probe))
+            row, cell = np.repeat(probe, np.diff(lists.offsets.to_numpy())), lists.flatten().to_numpy()
+            kth, p_cell, p_id, p_vec = asked.column("kth").to_numpy(), points.column("cell").to_numpy(), points.column("id").to_numpy(), points.column("vec").combine_chunks()
+            for one in np.unique(cell):
+                of, at = row[cell == one], np.flatnonzero(p_cell == one)
+                if not len(at):
+                    continue
+                q, p = ids[of], p_id[at]
+                x, y = _unit(_matrix(vec.take(pa.array(of)), dim)), _unit(_matrix(p_vec.take(pa.array(at)), dim))
+                radius = np.minimum(np.sqrt(np.maximum(2 - 2 * kth[of], 0)) + 1e-3, 2.0)
+                r, c, s = best_in(x, q, y, p, k, shipped.value.axes, radius, cap)
+                out_id.append(q[r]), out_n.append(p[c]), out_s.append(s)
         return pa.table({"id": pa.array(np.concatenate(out_id)), "neighbour": pa.array(np.concatenate(out_n)), "similarity": pa.array(np.concatenate(out_s))})
 
-    asked = placed.groupBy("cell").applyInArrow(home, "cell int, id bigint, kth double, neighbours array<bigint>, similarities array<double>, vec array<float>")
-    verified = placed.groupBy("cell").cogroup(asked.groupBy("cell")).applyInArrow(verify, "id bigint, neighbour bigint, similarity double")
+    def verify(points: pa.Table, asked: pa.Table) -> pa.Table:
+        return verified_in(points, asked, shipped.value.cap)
+
+    def verify_again(points: pa.Table, asked: pa.Table) -> pa.Table:
+        return verified_in(points, asked, 2.0)
+
+    def further(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """All cells of those that the cap has left open, their own among them."""
+        for b in batches:
+            if b.num_rows:
+                kth = b.column(1).to_numpy()
+                radius = np.minimum(np.sqrt(np.maximum(2 - 2 * kth, 0)) + 1e-3, 2.0)
+                row, group, cells = by_group(*shipped.value.probes(_unit(_matrix(b.column(2), dim)).astype(np.float32), radius, -1), shipped.value.group)
+                at, none = pa.array(row), pa.array(np.zeros(len(row) + 1, np.int32))
+                lists = [pa.ListArray.from_arrays(none, pa.array([], kind)) for kind in (pa.int64(), pa.float64())]
+                yield pa.RecordBatch.from_arrays([pa.array(group, pa.int32()), b.column(0).take(at), b.column(1).take(at), *lists, cells, b.column(2).take(at)], ["part", "id", "kth", "neighbours", "similarities", "cells", "vec"])
+
     order = Window.partitionBy("id").orderBy(F.desc("similarity"), "neighbour")
-    merged = verified.groupBy("id", "neighbour").agg(F.max("similarity").alias("similarity"))
-    # narrow rows, used twice
-    top = durable(merged.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= k).drop("_r"), "top")
+
+    def best(found: DataFrame) -> DataFrame:
+        merged = found.groupBy("id", "neighbour").agg(F.max("similarity").alias("similarity"))
+        return merged.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= k).drop("_r")
+
+    shape, result = "part int, id bigint, kth double, neighbours array<bigint>, similarities array<double>, cells array<int>, vec array<float>", "id bigint, neighbour bigint, similarity double"
+    asked = placed.groupBy("cell").applyInArrow(home, shape)
+    # narrow rows, used again and again
+    top = durable(best(placed.groupBy("part").cogroup(asked.groupBy("part")).applyInArrow(verify, result)), "top")
+    if tree.depth:
+        has = top.groupBy("id").agg(F.count(F.lit(1)).alias("_n"), F.min("similarity").alias("_s"))
+        within = (F.col("_n") == k) & (F.sqrt(F.greatest(2 - 2 * F.col("_s"), F.lit(0.0))) + 1e-3 <= tree.cap)
+        rest = base.select("id").distinct().join(has, "id", "left").where(~F.coalesce(within, F.lit(False)))
+        rest, _ = sent_if_small(rest.select("id", F.when(F.col("_n") == k, F.col("_s")).otherwise(-1.0).alias("kth")), SENT_OPEN, "open")
+        again = base.join(rest, "id").select("id", "kth", "vec").mapInArrow(further, shape)
+        top = durable(best(top.unionByName(placed.groupBy("part").cogroup(again.groupBy("part")).applyInArrow(verify_again, result))), "top")
     # the ids left out as copies: of the first copy and its neighbours, the k smallest of similarity 1
     copies = copies.withColumn("_salt", F.pmod(F.xxhash64("copy"), F.lit(SALTS)).cast("int"))
     lists = top.join(firsts, "id").unionByName(firsts.select("id", F.col("id").alias("neighbour"), F.lit(1.0).alias("similarity")))

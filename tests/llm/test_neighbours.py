@@ -42,6 +42,17 @@ def test_many_cells_lose_little(spark, monkeypatch):
     assert len(set(got) & set(want)) >= 0.97 * len(want)
 
 
+def test_rows_beyond_the_cap_find_their_neighbours(spark, monkeypatch):
+    monkeypatch.setattr(nb, "CELL_ROWS", 150)
+    rng = np.random.default_rng(12)
+    centre = rng.standard_normal((40, DIM))
+    rows = [(int(i), (centre[i % 40] + 0.02 * rng.standard_normal(DIM)).astype(np.float32).tolist()) for i in range(3000)]
+    rows += [(5000 + i, rng.standard_normal(DIM).astype(np.float32).tolist()) for i in range(30)]
+    got, want = run(spark, rows), brute(rows)
+    alone = {p for p in want if p[0] >= 5000}
+    assert len(alone & set(got)) >= 0.95 * len(alone) and len({p for p in got if p[0] >= 5000}) == len(alone)
+
+
 def test_cells_are_bounded_whatever_the_sample(spark):
     rng = np.random.default_rng(5)
     centre = rng.standard_normal((30, 64))
