@@ -3,7 +3,7 @@ import math
 import numpy as np
 import pytest
 
-from marlstone.operators import lexical, products, sparse
+from marlstone.operators import lexical, products, search, sparse
 
 
 def ranked(rows):
@@ -53,3 +53,17 @@ def test_bm25_ranks_no_more_than_k_a_query_and_task(spark, monkeypatch):
     q = spark.createDataFrame([(i, "fox") for i in range(30)], "query_id int, text string")
     rows, tasks = pairs_sorted(monkeypatch, lexical, lambda: lexical.Index(chunks).search(q, 2))
     assert rows <= 30 * 2 * tasks < 30 * 400
+
+
+def test_hybrid_legs_rank_no_more_than_k_a_query_and_task(spark, monkeypatch):
+    chunks = spark.createDataFrame([(c, "A", 1, "", "fox " + "word " * (c % 7)) for c in range(600)], "chunk_id bigint, doc string, page int, section string, text string")
+    vectors = spark.createDataFrame([(c, [1.0, float(c)]) for c in range(600)], "chunk_id bigint, embedding array<float>")
+    terms = spark.createDataFrame([(c, "t" if c < 80 else "u", 1.0 + c) for c in range(600)], "chunk_id bigint, term string, weight double")
+    q = spark.createDataFrame([(i, "fox", [1.0, 1.0]) for i in range(30)], "query_id int, text string, embedding array<float>")
+    qt = spark.createDataFrame([(i, "t", 1.0) for i in range(30)], "query_id int, term string, qw double")
+    seen, plain = [], lexical.top_k
+    for module in (lexical, sparse):
+        monkeypatch.setattr(module, "top_k", lambda scored, k: seen.append((scored.count(), scored.rdd.getNumPartitions())) or plain(scored, k))
+    legs = search.legs(search.Collection(chunks, vectors, terms, 2), q, qt, 1)
+    assert [leg.count() for leg in legs] == [30 * 20, 30 * 20, 30 * 4]
+    assert len(seen) == 2 and all(rows <= 30 * k * tasks for (rows, tasks), k in zip(seen, (20, 4)))
