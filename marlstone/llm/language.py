@@ -77,16 +77,22 @@ def plain(text: str) -> str:
 
 def clean_sample(rows: list[tuple[str, str]]) -> dict[str, list[str]]:
     """Sentences by language, of (language, text) rows with noisy labels; two rounds of naive Bayes on words."""
-    units = [(lang, s, _WORD.findall(s)) for lang, t in rows for a, b in sentences(t) if len(s := plain(t[a:b])) > 20]
+    known: dict[str, int] = {}
+    common = {k: [known.setdefault(w, len(known)) for w in v.split()] for k, v in COMMON_WORDS.items()}
+    units = [
+        (lang, s, np.array([known.setdefault(w, len(known)) for w in _WORD.findall(s)], np.int32)) for lang, t in rows for a, b in sentences(t) if len(s := plain(t[a:b])) > 20
+    ]  # numbers: the sample's words as strings take a multiple of its texts
     kept = units
     for _ in range(2):
-        counts = {k: Counter({w: 20 for w in v.split()}) for k, v in COMMON_WORDS.items()}
+        counts = {k: np.zeros(len(known), np.int64) for k in NAMES}
+        for k, v in common.items():
+            counts[k][v] = 20
         for lang, _s, words in kept:
-            counts[lang].update(words)
-        total = {k: sum(c.values()) + 20_000 for k, c in counts.items()}
+            np.add.at(counts[lang], words, 1)
+        logs = {k: np.array([math.log(x) for x in ((c + 0.5) / (int(c.sum()) + 20_000)).tolist()]) for k, c in counts.items()}
 
-        def score(words: list[str], k: str) -> float:
-            return sum(math.log((counts[k][w] + 0.5) / total[k]) for w in words)
+        def score(words: np.ndarray, k: str) -> float:
+            return sum(logs[k][words].tolist())
 
         best = [max(NAMES, key=lambda k: score(words, k)) if len(words) >= MIN_WORDS else None for _, _, words in units]
         kept = [u for u, k in zip(units, best) if u[0] == k]
