@@ -122,6 +122,18 @@ def test_hybrid_without_encoder(spark, small):
     assert search.envelope(empty, q, qt).first().message == search.EMPTY
 
 
+def test_hybrid_takes_all_terms_of_a_query(spark):
+    """Terms in over 15 % of the chunks, those after the 32nd and those over the budget of postings were left out."""
+    many = chunks(spark, [(i, "A", 1, "", "words") for i in range(1, 9)])
+    stored = [(i, "common", float(i)) for i in range(1, 7)] + [(7, f"t{i:02}", 1.0) for i in range(32)] + [(8, "t32", 9.0)]
+    c = search.Collection(many, spark.createDataFrame([], "chunk_id bigint, embedding array<float>"), spark.createDataFrame(stored, "chunk_id bigint, term string, weight double"), 2)
+    q = spark.createDataFrame([(1, None, None), (2, None, None)], "query_id int, text string, embedding array<float>")
+    qt = spark.createDataFrame([(1, "common", 1.0)] + [(2, f"t{i:02}", float(100 - i)) for i in range(33)], "query_id int, term string, qw double")
+    got = {(r.query_id, r.position): r.chunk_id for r in search.hybrid(c, q, qt, 5).collect()}
+    assert got == {(1, 1): 6, (1, 2): 5, (1, 3): 4, (1, 4): 3, (1, 5): 2, (2, 1): 7, (2, 2): 8}
+    assert [(r.query_id, r.chunk_id) for r in search.hybrid(c, q, qt, 5, prune=True).collect()] == [(2, 7)]
+
+
 def test_metrics(spark):
     run = leg(spark, [(1, 10, 1), (1, 11, 2), (1, 12, 3), (2, 10, 1)])
     qrels = spark.createDataFrame([(1, 11, 2), (1, 13, 1), (2, 99, 0)], "query_id int, chunk_id bigint, rel int")
