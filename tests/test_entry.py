@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from marlstone.operators import sparse
 
 DIR = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(DIR), reason="no test tables here")
@@ -51,3 +52,13 @@ def test_entry(spark):
     df = entry.entry(spark)
     assert df.columns == ["query_id", "position", "chunk_id", "doc", "page", "section", "score", "snippet"]
     assert df.count() > 0
+
+
+@pytest.mark.parametrize("name", ["ret_hybrid", "ret_hybrid_dense"])
+def test_whole_hybrid_search_prunes_no_terms(spark, monkeypatch, name):
+    def pruned(*_):
+        raise AssertionError("terms are left out")
+
+    monkeypatch.setattr(sparse, "pruned_terms", pruned)
+    assert "before < " not in entry.oracle_sql()[name]
+    assert entry.queries()[name](spark, DIR).columns
