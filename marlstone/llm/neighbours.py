@@ -13,7 +13,8 @@ beyond that distance, or which have fewer than k, are searched again, with the d
 verified are computed in double precision from the vectors themselves.
 
 Plan: two shuffles of the vectors, by cell and by groups of up to GROUP neighbouring cells, one of those that have further cells to visit, once for
-each group of these, and one of narrow result rows; the vectors by group once more for what is searched again. Cells hold about CELL_ROWS rows: the sample follows the number of cells up to SAMPLE_MAX, and the rows of a
+each group of these, and one of narrow result rows; the vectors by group once more for what is searched again. A task holds the points of one group
+and takes the rows that visit it in order, some at a time, as their number follows all rows. Cells hold about CELL_ROWS rows: the sample follows the number of cells up to SAMPLE_MAX, and the rows of a
 cell that holds more than twice as many are dealt into blocks, each of which is searched like a cell of its own. Of equal vectors only
 the k + 1 smallest ids enter the cells; the others take over their neighbours, so a vector that
 a third of all rows share is no hot cell. Equal vectors are found by their hashes, and only they are brought together.
@@ -22,7 +23,7 @@ a third of all rows share is no hot cell. Equal vectors are found by their hashe
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +38,8 @@ SAMPLE_MIN, SAMPLE_CELL, SAMPLE_MAX = 4096, 16, 1 << 20
 MISS_CELL, MISS_POINT, PILOTS, CAP_SHARE = 0.05, 0.005, 256, 0.97
 FIRST, FEW = 12, 2048
 SALTS, GROUP, SENT_OPEN = 16, 16, 1 << 20
+# rows whose further cells are found at once, and rows that are verified at once
+ASKED_STEP, ASKED = 1024, 16384
 SLACK = 4e-6
 
 
@@ -179,8 +182,8 @@ def best_in(queries: np.ndarray, q_ids: np.ndarray, points: np.ndarray, p_ids: n
     limit = chi2_quantile(1 - MISS_POINT, m) / dim if m < dim else 1.0
     q, p = queries.astype(np.float32) @ axes.T, points.astype(np.float32) @ axes.T
     p2, whole = (p * p).sum(1), points.astype(np.float32)
-    rows, cols = [], []
-    step = max(1, (8 << 20) // max(1, len(points)))
+    out = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
+    step = max(1, (4 << 20) // max(1, len(points)))
 
     def exact(r: np.ndarray, c: np.ndarray) -> np.ndarray:
         parts = [np.einsum("ij,ij->i", queries[r[i : i + (1 << 16)]], points[c[i : i + (1 << 16)]]) for i in range(0, len(r), 1 << 16)]
@@ -205,22 +208,36 @@ def best_in(queries: np.ndarray, q_ids: np.ndarray, points: np.ndarray, p_ids: n
         many = np.flatnonzero(np.count_nonzero(met, axis=1) * 16 > (len(points) + 64 * k if len(points) > FEW else -1))
         met[many] = False
         r, c = np.nonzero(met)
-        for i in range(0, len(many), max(1, (4 << 20) // max(1, len(points)))):
-            part = many[i : i + max(1, (4 << 20) // max(1, len(points)))]
+        for i in range(0, len(many), max(1, step // 2)):
+            part = many[i : i + max(1, step // 2)]
             s = queries[a + part].astype(np.float32) @ whole.T
             s[q_ids[a + part, None] == p_ids[None, :]] = -2
             low = np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k] if s.shape[1] >= k else np.full(len(part), -1.5)
             pr, pc = np.nonzero(s >= np.maximum(low, 1 - radius[a + part].astype(np.float64) ** 2 / 2 if radius is not None else -1.5)[:, None] - SLACK)
             r, c = np.concatenate((r, part[pr])), np.concatenate((c, pc))
         keep = q_ids[a + r] != p_ids[c]
-        rows.append(a + r[keep]), cols.append(c[keep])
-    r, c = np.concatenate(rows), np.concatenate(cols)
-    s = np.round(exact(r, c), DECIMALS)
-    order = np.lexsort((p_ids[c], -s, r))
-    r, c, s = r[order], c[order], s[order]
-    start = np.searchsorted(r, r)
-    top = np.arange(len(r)) - start < k
-    return r[top], c[top], s[top]
+        r, c = a + r[keep], c[keep]
+        s = np.round(exact(r, c), DECIMALS)
+        order = np.lexsort((p_ids[c], -s, r))  # a step holds all that its queries have: no more than the k best is kept of it
+        r, c, s = r[order], c[order], s[order]
+        top = np.arange(len(r)) - np.searchsorted(r, r) < k
+        out.append((r[top], c[top], s[top]))
+    r, c, s = (np.concatenate(x) for x in zip(*out))
+    return r, c, s
+
+
+class Group:
+    """The points of one group of cells, in order of their cells."""
+
+    def __init__(self, batches: list[pa.RecordBatch], dim: int):
+        t = pa.Table.from_batches(batches).combine_chunks() if batches else None
+        self.cell = t.column("cell").to_numpy() if t else np.empty(0, np.int32)
+        self.ids = t.column("id").to_numpy() if t else np.empty(0, np.int64)
+        self.vec = _matrix(t.column("vec").combine_chunks(), dim) if t else np.empty((0, dim), np.float32)
+
+    def of(self, cell: int) -> tuple[np.ndarray, np.ndarray]:
+        at = slice(np.searchsorted(self.cell, cell), np.searchsorted(self.cell, cell, "right"))
+        return _unit(self.vec[at]), self.ids[at]
 
 
 def pilot_radius(base: DataFrame, pilots: np.ndarray, dim: int, k: int) -> float:
@@ -300,10 +317,11 @@ def nearest(vectors: DataFrame, records: DataFrame, dim: int = 64, k: int = K, r
 
     placed = base.select("id", "vec").mapInArrow(place, "part int, cell int, id bigint, vec array<float>")
 
-    nothing = pa.table({"id": pa.array([], pa.int64()), "neighbour": pa.array([], pa.int64()), "similarity": pa.array([], pa.float64())})
+    names = ["id", "neighbour", "similarity"]
 
-    def home(table: pa.Table) -> pa.Table:
+    def home(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The cells each vector has still to verify, and rows with its neighbours in its own cell, which pass through."""
+        table = pa.Table.from_batches(batches)
         ids, raw = table.column("id").to_numpy(), table.column("vec").combine_chunks()
         x, cell = _unit(_matrix(raw, dim)), table.column("cell")[0].as_py()
         r, c, s = best_in(x, ids, x, ids, k, shipped.value.axes, None, shipped.value.cap)
@@ -312,59 +330,84 @@ def nearest(vectors: DataFrame, records: DataFrame, dim: int = 64, k: int = K, r
         kth = np.full(len(ids), -1.0)
         kth[count == k] = s[ends[1:][count == k] - 1]
         radius = np.minimum(np.sqrt(np.maximum(2 - 2 * kth, 0)) + 1e-3, shipped.value.cap)
-        pr, pc = shipped.value.probes(x.astype(np.float32), radius, cell)
-        pr, pg, cells = by_group(pr, pc, shipped.value.group)
-        n, m = len(ids), len(pr)
-        offsets = pa.array(np.concatenate((ends, np.full(m, ends[-1]))).astype(np.int32))
-        return pa.table({
-            "part": pa.array(np.concatenate((np.full(n, cell // shipped.value.group), pg)).astype(np.int32)),
-            "id": pa.array(np.concatenate((ids, ids[pr]))),
-            "kth": pa.array(np.concatenate((kth, kth[pr]))),
-            "neighbours": pa.ListArray.from_arrays(offsets, pa.array(ids[c])),
-            "similarities": pa.ListArray.from_arrays(offsets, pa.array(s)),
-            "cells": pa.concat_arrays([pa.nulls(n, cells.type), cells]),
-            "vec": pa.concat_arrays([pa.nulls(n, raw.type), raw.take(pa.array(pr))]) if m else pa.nulls(n, raw.type),
-        })
-
-    def verified_in(points: pa.Table, asked: pa.Table, cap: float) -> pa.Table:
-        if not asked.num_rows:
-            return nothing
-        near, vec = asked.column("neighbours").combine_chunks(), asked.column("vec").combine_chunks()
-        ids = asked.column("id").to_numpy()
-        out_id, out_n = [np.repeat(ids, np.diff(near.offsets.to_numpy()))], [near.flatten().to_numpy()]
-        out_s = [asked.column("similarities").combine_chunks().flatten().to_numpy()]
-        probe = np.flatnonzero(vec.is_valid().to_numpy(zero_copy_only=False))
-        if len(probe) and points.num_rows:
-            lists = asked.column("cells").combine_chunks().take(pa.array(probe))
-            row, cell = np.repeat(probe, np.diff(lists.offsets.to_numpy())), lists.flatten().to_numpy()
-            kth, p_cell, p_id, p_vec = asked.column("kth").to_numpy(), points.column("cell").to_numpy(), points.column("id").to_numpy(), points.column("vec").combine_chunks()
-            for one in np.unique(cell):
-                of, at = row[cell == one], np.flatnonzero(p_cell == one)
-                if not len(at):
-                    continue
-                q, p = ids[of], p_id[at]
-                x, y = _unit(_matrix(vec.take(pa.array(of)), dim)), _unit(_matrix(p_vec.take(pa.array(at)), dim))
+        near, similar = pa.array(ids[c]), pa.array(s)
+        for a in range(0, len(ids), ASKED_STEP):
+            b = min(a + ASKED_STEP, len(ids))
+            pr, pc = shipped.value.probes(x[a:b].astype(np.float32), radius[a:b], cell)
+            pr, pg, cells = by_group(pr, pc, shipped.value.group)
+            pr, n, m = a + pr, b - a, len(pr)
+            offsets = pa.array(np.concatenate((ends[a : b + 1], np.full(m, ends[b]))).astype(np.int32))
+            columns = {
+                "part": pa.array(np.concatenate((np.full(n, cell // shipped.value.group), pg)).astype(np.int32)),
+                "cell": pa.nulls(n + m, pa.int32()),
+                "id": pa.array(np.concatenate((ids[a:b], ids[pr]))),
+                "kth": pa.array(np.concatenate((kth[a:b], kth[pr]))),
+                "neighbours": pa.ListArray.from_arrays(offsets, near),
+                "similarities": pa.ListArray.from_arrays(offsets, similar),
+                "cells": pa.concat_arrays([pa.nulls(n, cells.type), cells]),
+                "vec": pa.concat_arrays([pa.nulls(n, raw.type), raw.take(pa.array(pr))]) if m else pa.nulls(n, raw.type),
+            }
+            yield pa.RecordBatch.from_arrays([*columns.values()], [*columns])
+
+    def passed(asked: pa.RecordBatch) -> pa.RecordBatch:
+        near = asked.column("neighbours")
+        return pa.RecordBatch.from_arrays([asked.column("id").take(pa.array(np.repeat(np.arange(len(asked)), np.diff(near.offsets.to_numpy())))), near.flatten(), asked.column("similarities").flatten()], names)
+
+    def verified_in(points: Group, asked: list[pa.RecordBatch], cap: float) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(asked).combine_chunks()
+        lists, ids, kth, vec = table.column("cells").combine_chunks(), table.column("id").to_numpy(), table.column("kth").to_numpy(), _matrix(table.column("vec").combine_chunks(), dim)
+        row, cell = np.repeat(np.arange(len(ids)), np.diff(lists.offsets.to_numpy())), lists.flatten().to_numpy()
+        for one in np.unique(cell):
+            (y, p), of = points.of(one), row[cell == one]
+            if len(p):
                 radius = np.minimum(np.sqrt(np.maximum(2 - 2 * kth[of], 0)) + 1e-3, 2.0)
-                r, c, s = best_in(x, q, y, p, k, shipped.value.axes, radius, cap)
-                out_id.append(q[r]), out_n.append(p[c]), out_s.append(s)
-        return pa.table({"id": pa.array(np.concatenate(out_id)), "neighbour": pa.array(np.concatenate(out_n)), "similarity": pa.array(np.concatenate(out_s))})
-
-    def verify(points: pa.Table, asked: pa.Table) -> pa.Table:
-        return verified_in(points, asked, shipped.value.cap)
-
-    def verify_again(points: pa.Table, asked: pa.Table) -> pa.Table:
-        return verified_in(points, asked, 2.0)
+                r, c, s = best_in(_unit(vec[of]), ids[of], y, p, k, shipped.value.axes, radius, cap)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[of][r]), pa.array(p[c]), pa.array(s)], names)
+
+    def verify_all(cap: float | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        """Of rows in order of group, points before those asked: a task holds the points of a group and ASKED of its questions, however many there are."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            most, now, held, points, waiting = shipped.value.cap if cap is None else cap, None, [], None, []
+            for batch in batches:
+                part = batch.column("part").to_numpy()
+                edges = [0, *(np.flatnonzero(np.diff(part)) + 1), len(part)]
+                for a, b in zip(edges, edges[1:]):
+                    if a == b:
+                        continue
+                    if part[a] != now:
+                        if waiting:
+                            yield from verified_in(points, waiting, most)
+                        now, held, points, waiting = part[a], [], None, []
+                    n = b - a - batch.column("cell").slice(a, b - a).null_count
+                    if n:
+                        held.append(batch.slice(a, n).select(["cell", "id", "vec"]))
+                    if n == b - a:
+                        continue
+                    if points is None:
+                        points, held = Group(held, dim), []
+                    asked = batch.slice(a + n, b - a - n)
+                    yield passed(asked)
+                    if len(asked) > asked.column("vec").null_count:
+                        waiting.append(asked.filter(asked.column("vec").is_valid()).select(["id", "kth", "cells", "vec"]))
+                    if sum(map(len, waiting)) >= ASKED:
+                        yield from verified_in(points, waiting, most)
+                        waiting = []
+            if waiting:
+                yield from verified_in(points, waiting, most)
+
+        return run
 
     def further(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """All cells of those that the cap has left open, their own among them."""
-        for b in batches:
+        for b in (b.slice(i, ASKED_STEP) for b in batches for i in range(0, b.num_rows, ASKED_STEP)):
             if b.num_rows:
                 kth = b.column(1).to_numpy()
                 radius = np.minimum(np.sqrt(np.maximum(2 - 2 * kth, 0)) + 1e-3, 2.0)
                 row, group, cells = by_group(*shipped.value.probes(_unit(_matrix(b.column(2), dim)).astype(np.float32), radius, -1), shipped.value.group)
                 at, none = pa.array(row), pa.array(np.zeros(len(row) + 1, np.int32))
                 lists = [pa.ListArray.from_arrays(none, pa.array([], kind)) for kind in (pa.int64(), pa.float64())]
-                yield pa.RecordBatch.from_arrays([pa.array(group, pa.int32()), b.column(0).take(at), b.column(1).take(at), *lists, cells, b.column(2).take(at)], ["part", "id", "kth", "neighbours", "similarities", "cells", "vec"])
+                yield pa.RecordBatch.from_arrays([pa.array(group, pa.int32()), pa.nulls(len(at), pa.int32()), b.column(0).take(at), b.column(1).take(at), *lists, cells, b.column(2).take(at)], ["part", "cell", "id", "kth", "neighbours", "similarities", "cells", "vec"])
 
     order = Window.partitionBy("id").orderBy(F.desc("similarity"), "neighbour")
 
@@ -372,17 +415,22 @@ def nearest(vectors: DataFrame, records: DataFrame, dim: int = 64, k: int = K, r
         merged = found.groupBy("id", "neighbour").agg(F.max("similarity").alias("similarity"))
         return merged.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= k).drop("_r")
 
-    shape, result = "part int, id bigint, kth double, neighbours array<bigint>, similarities array<double>, cells array<int>, vec array<float>", "id bigint, neighbour bigint, similarity double"
+    shape, result = "part int, cell int, id bigint, kth double, neighbours array<bigint>, similarities array<double>, cells array<int>, vec array<float>", "id bigint, neighbour bigint, similarity double"
+
+    def verify(asked: DataFrame, cap: float | None = None) -> DataFrame:
+        rows = placed.unionByName(asked, allowMissingColumns=True).select(*asked.columns).repartition("part")
+        return rows.sortWithinPartitions("part", F.col("cell").asc_nulls_last()).mapInArrow(verify_all(cap), result)
+
     asked = placed.groupBy("cell").applyInArrow(home, shape)
     # narrow rows, used again and again
-    top = durable(best(placed.groupBy("part").cogroup(asked.groupBy("part")).applyInArrow(verify, result)), "top")
+    top = durable(best(verify(asked)), "top")
     if tree.depth:
         has = top.groupBy("id").agg(F.count(F.lit(1)).alias("_n"), F.min("similarity").alias("_s"))
         within = (F.col("_n") == k) & (F.sqrt(F.greatest(2 - 2 * F.col("_s"), F.lit(0.0))) + 1e-3 <= tree.cap)
         rest = base.select("id").distinct().join(has, "id", "left").where(~F.coalesce(within, F.lit(False)))
         rest, _ = sent_if_small(rest.select("id", F.when(F.col("_n") == k, F.col("_s")).otherwise(-1.0).alias("kth")), SENT_OPEN, "open")
         again = base.join(rest, "id").select("id", "kth", "vec").mapInArrow(further, shape)
-        top = durable(best(top.unionByName(placed.groupBy("part").cogroup(again.groupBy("part")).applyInArrow(verify_again, result))), "top")
+        top = durable(best(top.unionByName(verify(again, 2.0))), "top")
     # the ids left out as copies: of the first copy and its neighbours, the k smallest of similarity 1
     copies = copies.withColumn("_salt", F.pmod(F.xxhash64("copy"), F.lit(SALTS)).cast("int"))
     lists = top.join(firsts, "id").unionByName(firsts.select("id", F.col("id").alias("neighbour"), F.lit(1.0).alias("similarity")))

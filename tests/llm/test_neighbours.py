@@ -1,3 +1,5 @@
+import tracemalloc
+
 import numpy as np
 
 from marlstone.llm import neighbours as nb
@@ -113,3 +115,36 @@ def test_few_and_no_rows(spark):
 def test_quantiles():
     # of tables: chi-square 0.95 with 1, 2 and 10 degrees of freedom
     assert [round(nb.chi2_quantile(0.95, c), 3) for c in (1, 2, 10)] == [3.841, 5.991, 18.307]
+
+
+def test_candidates_of_one_step_are_held_at_once():
+    """All candidates of all queries were held until the last one."""
+    rng = np.random.default_rng(3)
+    x = nb._unit(rng.standard_normal((6000, 64)) + 2.0 * rng.standard_normal((60, 64))[np.arange(6000) % 60])
+    ids, axes = np.arange(6000), np.linalg.qr(rng.standard_normal((64, 16)))[0].T.astype(np.float32)
+    tracemalloc.start()
+    r, c, s = nb.best_in(x, ids, x, ids, 5, axes, None)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert np.bincount(r).tolist() == [5] * 6000 and (np.diff(r) >= 0).all() and (c != r).all()
+    assert peak < 150 << 20
+
+
+def test_rows_asked_of_a_group_are_not_held_together(spark, monkeypatch):
+    """All rows that visit a group of cells were one table in a task."""
+    monkeypatch.setattr(nb, "ASKED", 40)
+    monkeypatch.setattr(nb, "ASKED_STEP", 16)
+    plans, plain = [], nb.durable
+    monkeypatch.setattr(nb, "durable", lambda df, name: plans.append(df._jdf.queryExecution().toString()) or plain(df, name))
+    rng = np.random.default_rng(4)
+    x = nb._unit(rng.standard_normal((900, 8))).astype(np.float32)
+    v = spark.createDataFrame([(i, y.tolist()) for i, y in enumerate(x)], "chunk_id bigint, embedding array<float>")
+    got = nb.nearest(v, v.select("chunk_id"), 8, cell_rows=64)
+    assert not any("CoGroups" in p for p in plans)
+    every = {(r.id, r.neighbour): r.similarity for r in got.collect()}
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    sims = np.round(u @ u.T, 6)
+    np.fill_diagonal(sims, -2)
+    want = {(i, int(j)) for i in range(900) for j in np.lexsort((np.arange(900), -sims[i]))[:5]}
+    assert len(every) == 4500 and len(want & every.keys()) > 0.97 * 4500
+    assert all(abs(sims[a, b] - s) < 2e-6 for (a, b), s in every.items())
