@@ -14,7 +14,7 @@ each, of up to SAMPLE_CHARS characters). Labels are noisy and documents mixed, s
 is first put where its words fit best, and dropped where that isn't the language of its label.
 
 Plan: the texts pass one map step and are not shuffled; what follows are narrow rows, one per run.
-Sums by document are pre-aggregated, and the join back to the documents is salted.
+Sums by document are pre-aggregated; the join back to the documents is salted, unless these are few enough, by their number, to be sent.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marlstone.llm.wordlists import COMMON_WORDS
-from marlstone.session import durable
+from marlstone.session import durable, sent_if_small
 
 # fixed values: ISO 639-1, 639-2 (both forms) and the English name
 NAMES = {
@@ -254,8 +254,13 @@ def document_languages(runs: DataFrame) -> DataFrame:
 def languages(docs: DataFrame, chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Documents: (doc, named, lang, share, confidence); passages: those of chunks, with main, the document's language."""
     runs = durable(passages(chunks, fit(docs, chunks)), "passages")
-    main = durable(document_languages(runs), "languages")
+    main, small = sent_if_small(document_languages(runs), name="languages")
+    # Spark's own size check takes the compressed files, and rows before they are repeated for the salt: it may send to all what fills the driver
+    main = main if small else main.hint("merge")
     documents = latest_docs(docs).join(main, "doc", "left")
-    salted = main.select("doc", F.col("lang").alias("main"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
+    named = main.select("doc", F.col("lang").alias("main"))
+    if small:
+        return documents, runs.join(named, "doc", "left")
+    salted = named.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).hint("merge")
     each = runs.withColumn("_salt", F.pmod(F.xxhash64("chunk_id"), F.lit(SALTS)).cast("int"))
     return documents, each.join(salted, ["doc", "_salt"], "left").drop("_salt")

@@ -1,7 +1,10 @@
 import tracemalloc
 
+from test_language import tables
+
 from marlstone.llm import language as lg
 from marlstone.llm.wordlists import COMMON_WORDS
+from marlstone.session import sent_if_small
 
 
 def test_the_sample_takes_little_more_than_its_texts():
@@ -15,3 +18,15 @@ def test_the_sample_takes_little_more_than_its_texts():
     tracemalloc.stop()
     assert sum(map(len, out.values())) > 1000
     assert peak < 12 * size
+
+
+def test_documents_are_sent_by_their_number_only(spark, monkeypatch):
+    """Spark took the salted documents for as small as their compressed files, and the driver held them 16 times."""
+    docs, chunks = tables(spark)
+    few = lg.languages(docs, chunks)
+    assert "Generate" not in few[1]._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(lg, "sent_if_small", lambda df, name: sent_if_small(df, 5, name), raising=False)
+    many = lg.languages(docs, chunks)
+    for a, b in zip(few, many):
+        assert "Broadcast" not in b._jdf.queryExecution().executedPlan().toString()
+        assert sorted(map(str, a.select(sorted(a.columns)).collect())) == sorted(map(str, b.select(sorted(b.columns)).collect())) != []
